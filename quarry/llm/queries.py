@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_sequences, ogg, packing, sentencepiece_codec
+from . import arrow_sequences, line_dedup, ogg, packing, quality_ledger, sentencepiece_codec
 from ._shared import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.sequence_store(table(spark, sf_dir, "documents"), WORD_FILE, end_id=2)
 
@@ -26,13 +30,17 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.to_media(table(spark, sf_dir, "documents")))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ledger.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), WORD_FILE, end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op4_arrow_sequences, op5_ogg, op8_packing)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op4_arrow_sequences, op5_ogg, op7_quality_rules, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_ledger.SQL}
