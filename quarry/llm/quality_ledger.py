@@ -21,10 +21,11 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 20"),
     ("repeated_words", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "10 * n_dup_lines > 6 * n_lines"),
     ("long_words", "word_chars > 14 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
     ("shouting", "4 * n_shouts > n_words"),
+    ("echoes", "2 * n_echoes > n_words"),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_words"]
@@ -51,7 +52,7 @@ def measurements(docs: DataFrame) -> DataFrame:
     empty line is no line of `n_lines`, and of equal lines all but the first are
     duplicates. A word within any window of eight words that the text has twice
     counts as repeated, the first window's included. `n_shouts` counts words that
-    end in two exclamation marks. Repeated rows each give a row, a null doc_id is
+    end in two exclamation marks, `n_echoes` words equal to the word before. Repeated rows each give a row, a null doc_id is
     kept, an empty table gives none, further columns are not read.
     """
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -72,7 +73,7 @@ def measurements(docs: DataFrame) -> DataFrame:
         F.expr("transform(words, w -> xxhash64(w))").alias("h"),
     )
     inner = ", ".join(f"get(h, i + {k})" for k in range(WINDOW))
-    windows = hashed.withColumn("win", F.expr(f"if(size(h) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(h) - {WINDOW}), i -> xxhash64({inner})))")).drop("h")
+    windows = hashed.withColumn("win", F.expr(f"if(size(h) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(h) - {WINDOW}), i -> xxhash64({inner})))")).withColumn("n_echoes", F.expr("cast(size(filter(h, (x, i) -> x = get(h, i - 1))) as long)")).drop("h")
     # a text without an equal pair of windows, as most are, needs no sorting
     ordered = windows.withColumn("s", F.expr("if(size(array_distinct(win)) = size(win), null, array_sort(transform(win, (v, i) -> struct(v as v, i as i))))")).drop("win")
     twice = ordered.withColumn("p", F.expr("array_sort(transform(filter(s, (x, k) -> get(s, k - 1).v <=> x.v or get(s, k + 1).v <=> x.v), x -> x.i))")).drop("s")
@@ -124,15 +125,16 @@ words as (select r, unnest(w) as w, generate_subscripts(w, 1) as i from (select
 per as (select r, count(*) as n_words, sum(length(w)) as word_chars, count(*) filter (w like '%!!') as n_shouts from words group by r),
 win as (select r, i, case when count(*) over eight = 8 then list(w) over eight end as win from words window eight as (partition by r order by i rows between current row and 7 following)),
 twice as (select r, i, count(*) over (partition by r, win) as n from win where win is not null),
+echoes as (select r, count(*) as n_echoes from (select r, w = lag(w) over (partition by r order by i) as e from words) where e group by r),
 covered as (select distinct r, i + k as i from twice, range(8) t(k) where n > 1),
 rep as (select r, count(*) as n_repeat_words from covered group by r),
 lines as (select r, unnest(string_split(text, chr(10))) as l from docs),
 per_lines as (select r, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines from lines where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
 book as (select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
-  coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_shouts, 0) as n_shouts
-  from docs left join per using (r) left join rep using (r) left join per_lines using (r)),
-bits as (select *, cast(1 * cast(n_words < 20 as int) + 2 * cast(100 * n_repeat_words > 30 * n_words as int) + 4 * cast(10 * n_symbols > n_words as int) + 8 * cast(10 * n_dup_lines > 3 * n_lines as int)
-  + 16 * cast(word_chars > 14 * n_words as int) + 32 * cast(word_chars < 2 * n_words as int) + 64 * cast(4 * n_shouts > n_words as int) as bigint) as failed from book)
+  coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_shouts, 0) as n_shouts, coalesce(n_echoes, 0) as n_echoes
+  from docs left join per using (r) left join rep using (r) left join per_lines using (r) left join echoes using (r)),
+bits as (select *, cast(1 * cast(n_words < 20 as int) + 2 * cast(100 * n_repeat_words > 30 * n_words as int) + 4 * cast(10 * n_symbols > n_words as int) + 8 * cast(10 * n_dup_lines > 6 * n_lines as int)
+  + 16 * cast(word_chars > 14 * n_words as int) + 32 * cast(word_chars < 2 * n_words as int) + 64 * cast(4 * n_shouts > n_words as int) + 128 * cast(2 * n_echoes > n_words as int) as bigint) as failed from book)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
   cast(n_repeat_words as bigint) as n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed from bits
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_sequences, line_dedup, ogg, packing, quality_ledger, sentencepiece_codec
+from . import arrow_sequences, line_dedup, ogg, packing, pu_quality, quality_ledger, sentencepiece_codec, simhash
 from ._shared import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,8 +38,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), WORD_FILE, end_id=0)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op4_arrow_sequences, op5_ogg, op7_quality_rules, op8_packing)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op4_arrow_sequences, op5_ogg, op7_quality_rules, op8_packing, op9_simhash, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
