@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_sequences, line_dedup, ogg, packing, pu_quality, quality_ledger, sentencepiece_codec, simhash
+from . import arrow_sequences, host_paths, line_dedup, ogg, packing, pu_quality, quality_ledger, sentencepiece_codec, simhash
 from ._shared import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -47,7 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op4_arrow_sequences, op5_ogg, op7_quality_rules, op8_packing, op9_simhash, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_line_dedup, op4_arrow_sequences, op5_ogg, op7_quality_rules, op8_packing, op9_simhash, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
