@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_sequences, host_paths, line_dedup, ogg, packing, pu_quality, quality_ledger, sentencepiece_codec, simhash
+from . import arrow_sequences, host_paths, line_dedup, ogg, packing, pu_quality, quality_ledger, sentencepiece_codec, simhash, suffix_dedup
 from ._shared import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,6 +34,10 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.to_media(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.verdicts(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_line_dedup, op4_arrow_sequences, op5_ogg, op7_quality_rules, op8_packing, op9_simhash, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_line_dedup, op4_arrow_sequences, op5_ogg, op6_suffix_dedup, op7_quality_rules, op8_packing, op9_simhash, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
