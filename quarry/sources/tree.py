@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import subprocess
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,13 +101,28 @@ def walk(root: str, ignore: Ignore | None = None) -> list[tuple[str, bool]]:
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """path, text, size_bytes, sha256 of the files that the rules leave; bytes are read by the executors."""
-    listed = spark.createDataFrame([(p,) for p, d in walk(root) if not d and not os.path.islink(os.path.join(root, p))], "path string")
-    base = "file:" + os.path.realpath(root).rstrip("/") + "/"
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    rel = F.expr(f"substring(path, {len(base) + 1})")
-    content = read.select(rel.alias("path"), "content", F.col("length").alias("size_bytes"))
-    return content.join(listed, "path", "left_semi").select("path", F.decode("content", "UTF-8").alias("text"), "size_bytes", F.sha2("content", 256).alias("sha256"))
+    """path, text, size_bytes, sha256 of the files that the rules leave.
+
+    The executors read the bytes, so the root must be a path that they see too.
+    Spark's own file sources pass over names that begin with a dot; this reads
+    them. A file that cannot be read has a null text and hash.
+    """
+    listed = [(p,) for p, d in walk(root) if not d and not os.path.islink(os.path.join(root, p))]
+    base = os.path.realpath(root)
+    schema = pa.schema([("path", pa.string()), ("text", pa.string()), ("size_bytes", pa.int64()), ("sha256", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    raw = Path(base, path).read_bytes()
+                    row = [raw.decode("utf-8", "replace"), len(raw), hashlib.sha256(raw).hexdigest()]
+                except OSError:
+                    row = [None, None, None]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([path, *row], schema)], schema=schema)
+
+    paths = spark.createDataFrame(listed, "path string").repartition(max(1, len(listed) // 500 + 1))
+    return paths.mapInArrow(run, "path string, text string, size_bytes long, sha256 string")
 
 
 def inventory(found: DataFrame) -> DataFrame:
