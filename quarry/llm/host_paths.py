@@ -39,7 +39,7 @@ NAMES = frozenset(
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol dl table select".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 DIGITS = re.compile(r"\d+")
 NAME = re.compile(r"[a-z]+")
@@ -110,12 +110,12 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        if not (m[2] or m[5]):
             continue
-        tag = m[2].lower()
+        tag = (m[2] or m[5]).lower()  # the second form is of tags with a stray quote, or cut off by the page's end
         if tag not in INLINE:
             flush()
-        if m[1]:
+        if m[1] or m[4]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     pop_to(k)
@@ -143,7 +143,7 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             if stack[k].tag in LISTS:
                 break
         up = stack[-1]
-        classes, named = _attributes(m[3])
+        classes, named = _attributes(m[3] or "")
         if tag in ("html", "body", "main", "article"):  # such names on the whole page say nothing, on an article little
             named = named and tag == "article" and up.article
         outside = up.outside or named or tag in OUTSIDE or tag == "header" and not up.article
