@@ -480,12 +480,12 @@ def _(g):
     return wi.derived_kinds(g.files.select(F.element_at(F.split("path", "/"), 2).alias("domain"), "path", "kind"))
 
 
-@table_query("W4_merge_adjacent", """with h as (select user_id as name, event_id as b, event_id + cast(value as bigint) % 50 as e from events),
+@table_query("W4_merge_adjacent", """with h as (select user_id as name, event_id as b, event_id + cast(floor(value) as bigint) % 50 as e from events),
 m as (select *, case when b - max(e) over (partition by name order by b, e rows between unbounded preceding and 1 preceding) <= 2 then 0 else 1 end as n from h),
 i as (select *, sum(n) over (partition by name order by b, e rows unbounded preceding) as g from m)
 select name, min(b) as "begin", max(e) as stop, count(*) as parts from i group by name, g""")
 def _(spark, d):
-    ev = table(spark, d, "events").select(F.col("user_id").alias("name"), F.col("event_id").alias("begin"), (F.col("event_id") + F.expr("cast(round(value) as bigint)") % 50).alias("stop"))
+    ev = table(spark, d, "events").select(F.col("user_id").alias("name"), F.col("event_id").alias("begin"), (F.col("event_id") + F.floor("value") % 50).alias("stop"))
     return wi.merge_adjacent(ev)
 
 
