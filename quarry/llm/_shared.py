@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -49,3 +50,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release() -> None:
+    """Drop the token tables that this Python worker keeps for another operator's tasks.
+
+    Workers live on between stages; a task that needs no tokenizer gives their
+    memory back before it begins.
+    """
+    for module, held in (("quarry.llm.word_tokens", "word_tokens"), ("quarry.llm.sentencepiece_codec", "piece_codec")):
+        if module in sys.modules:
+            getattr(sys.modules[module], held).cache_clear()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import release, written
 
 #: Hosts up to which the winning paths are sent to every executor; beyond it they are joined in by a salted shuffle.
 BROADCAST_HOSTS = 20_000
@@ -197,6 +197,7 @@ def extract(html: str | None, path: str | None = None) -> str:
 def host_votes(pages: DataFrame) -> DataFrame:
     """host, path: the winner of each host, by pages, then score, then path."""
     def run(batches):
+        release()
         for batch in batches:
             votes: dict[tuple[str, str], list] = {}
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

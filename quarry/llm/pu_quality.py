@@ -17,6 +17,7 @@ hash of doc_id); every document is scored by its whole text.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import release
+
 #: Labelled rows that are fitted on at most: the bound of what the driver holds, as measurements and not as texts.
 SAMPLE = 12_000
 FOLDS = 5
@@ -155,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
 
     def run(batches):
+        release()
         for batch in batches:
             x = measures(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(2).cast(pa.int32()), "x": pa.array(list(x), pa.list_(pa.float64()))})
@@ -174,22 +178,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     texts score alike; repeated rows each give a row, an empty table gives none.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    at = names.index("text")
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
-    schema = StructType([*kept.schema.fields])
-    schema = schema.add("score", DoubleType()).add("predicted", IntegerType())
 
-    def run(batches):
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                s = model.scores(measures(part.column(at).to_pylist()))
-                columns = [*part.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted"])
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
+        for column in texts:
+            parts = [model.scores(measures(column.slice(at, 512).to_pylist())) for at in range(0, len(column), 512)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    return kept.mapInArrow(run, schema)
+    # only the texts go to Python, and only the scores come back
+    out = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("score", scored(F.col("text")))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

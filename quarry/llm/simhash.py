@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import written
+from ._shared import release, written
 
 WORDS = 3
 DISTANCE = 3
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
