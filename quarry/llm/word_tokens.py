@@ -13,7 +13,6 @@ import os
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
 from ._ragged import PieceTable
@@ -97,7 +96,3 @@ def encoded(texts: pa.Array, path: str) -> list[np.ndarray]:
     """Ids of a few texts (tests and small inputs)."""
     ids, bounds = word_tokens(path).encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-
-
-def total_bytes(texts: pa.Array) -> int:
-    return pc.sum(pc.binary_length(texts)).as_py() or 0
