@@ -17,7 +17,6 @@ from .operators import resolve as rs
 from .operators import rules as ru
 from .operators import traverse as tr
 from .operators import windows as wi
-from .plans.frontier import reach
 from .sources.catalog import GRAPH_SQL, catalog_graph, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,9 +676,6 @@ def _(g):
 
 # scalar functions -----------------------------------------------------------
 
-EXAMPLES = ["MyHTTPServer", "foo_bar", "___", "", "FooBar9Baz", "a\\b\\", "src/x/", ".env.sample", ".env", "a/node_modules/b.js", "k.pem", "id_rsa", "@acme/ui/button", "lodash/fp", "./x", "../y", ".", "x.d.ts", "a/dist/b.js", "sym:a/b.ts#x#f~2", "App.test.tsx", "index.ts", "package-lock.json", "Dockerfile", "logo.svg", "x.module.css"]
-
-
 @table_query("F1_F3_ids", "select 'file:' || url as file_id, regexp_extract(rtrim(url, '/'), '[^/]*$') as base, 'edge:' || 'file:' || url || ':IMPORTS:pkg:x' as edge_id, page_id from pages")
 def _(spark, d):
     p = table(spark, d, "pages")
@@ -844,7 +840,3 @@ def _(spark, d):
 @table_query("X13_search", "select doc_id from documents where regexp_matches(text, 'License')")
 def _(spark, d):
     return table(spark, d, "documents").filter(F.col("text").rlike("License")).select("doc_id")
-
-
-def reach_from(g: Graph, node: str) -> DataFrame:
-    return reach(g.edges.sparkSession.createDataFrame([(node,)], "node string"), g.edges)
