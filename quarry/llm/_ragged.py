@@ -16,12 +16,12 @@ import pyarrow.compute as pc
 GROUP_BYTES = 6 << 20
 
 
-def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about GROUP_BYTES of text each."""
+def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most `most` bytes of text each, or one row."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for k, n in enumerate(sizes):
-        if held and held + n > GROUP_BYTES:
+        if held and held + n > most:
             yield begin, k
             begin, held = k, 0
         held += int(n)

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shuffle_partitions, written
+from ._ragged import groups
+from ._shared import release, shuffle_partitions, written
 from .suffix_sort import Hashed, sorted_suffixes
 
 LENGTH = 100
@@ -38,7 +39,7 @@ GRAM = 32
 KINDS = 8_000
 BLOCK = 16_000
 #: Bytes that are hashed together; positions in them take PLACE_BITS.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 PLACE_BITS = 23
 NULL_ID = -(1 << 63)
 
@@ -73,6 +74,12 @@ def picks(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
     return doc[new], first[new], last, place[new], h[place[new]]
 
 
+def _slices(batch: pa.RecordBatch):
+    """Rows of a batch with about a chunk of text each."""
+    for begin, end in groups(batch.column(2), 2 * CHUNK):
+        yield batch.slice(begin, end - begin)
+
+
 def _chunks(texts: list[bytes], length: int):
     """Texts in groups of about CHUNK bytes; a longer one in parts that overlap so that each window is whole in one."""
     held: list[tuple[int, int, bytes]] = []
@@ -100,7 +107,8 @@ def candidate_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("g", pa.int64()), ("doc", pa.int64()), ("k", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        release()
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t.encode("utf-8") for t in batch.column(2).to_pylist()]
             for chunk in _chunks(texts, length):
@@ -212,11 +220,11 @@ def found_rows(rows: DataFrame, kinds: int) -> DataFrame:
     return rows.mapInArrow(run, FOUND)
 
 
-def contexts(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """Step 3, first half: the bytes of each chosen row."""
+def contexts(docs: DataFrame, picked: DataFrame, keys: list[str]) -> DataFrame:
+    """Step 3, first half: the bytes of each chosen row. `docs` come dealt by `keys`."""
     schema = pa.schema([("a", pa.int64()), ("block", pa.int64()), ("split", pa.bool_()), ("doc", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
-    lists = picked.groupBy("doc", "k").agg(F.collect_list(F.struct("a", "block", "split", "at")).alias("w")).withColumnsRenamed({"doc": "doc2", "k": "k2"})
-    joined = docs.join(lists.hint("shuffle_hash"), (F.col("doc") == F.col("doc2")) & (F.col("k") == F.col("k2"))).select("doc", "k", "text", "w")
+    lists = picked.groupBy(*keys).agg(F.collect_list(F.struct("a", "block", "split", "at")).alias("w"))
+    joined = docs.join(lists.hint("shuffle_hash"), keys).select("doc", "k", "text", "w")
 
     def run(batches):
         for batch in batches:
@@ -323,20 +331,25 @@ def block_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, k long, begin long, stop long, h1 long, h2 long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (a null id is the smallest), k (tells texts of one id apart, zero if ids do not repeat), text."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """doc (a null id is the smallest), k (tells texts of one id apart, zero if ids do not repeat), text; and what tells documents apart.
+
+    A constant among the keys of a join would be optimised away on one side and
+    deal the texts a second time.
+    """
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     repeats = plain.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return plain.select("doc", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("k"), "text")
+    k = F.xxhash64("text") if repeats else F.lit(0).cast("long")
+    return plain.select("doc", k.alias("k"), "text"), ["doc", "k"] if repeats else ["doc"]
 
 
-def intervals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, kinds: int = KINDS) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, dealt by key, and (doc, k, begin, stop) of all repeats, which may overlap."""
+def intervals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, kinds: int = KINDS) -> tuple[DataFrame, list[str], DataFrame]:
+    """The keyed documents, their keys, and (doc, k, begin, stop) of all repeats, which may overlap."""
     if not 8 <= gram <= length <= 200:
         raise ValueError("8 <= gram <= length <= 200")
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    keyed = _keyed(docs)
+    keyed, keys = _keyed(docs)
     rows = candidate_rows(keyed, length, gram).repartition(n, "a").sortWithinPartitions("a", "g", "doc", "k", "at")
     found = written(found_rows(rows, kinds), "suffix-found")
     done = found.filter("block is null").select("doc", "k", "begin", "stop")
@@ -347,17 +360,15 @@ def intervals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, kinds:
         picked = picked.join(split.withColumn("split", F.lit(True)), "a", "left").withColumn("split", F.coalesce("split", F.lit(False)))
     else:
         picked = picked.withColumn("split", F.lit(False))
-    dealt = keyed.repartition(n, "doc", "k")
-    near = contexts(dealt, picked).repartition(n, "a", "block").sortWithinPartitions("a", "block", "doc", "k", "at")
-    settled = block_rows(near, length, gram)
+    near = contexts(keyed.repartition(n, *keys), picked, keys).repartition(n, "a", "block").sortWithinPartitions("a", "block", "doc", "k", "at")
+    settled = written(block_rows(near, length, gram), "suffix-blocks")
     if not crowded:
-        return dealt, done.unionByName(settled.select("doc", "k", "begin", "stop"))
-    settled = written(settled, "suffix-blocks")
+        return keyed, keys, done.unionByName(settled.select("doc", "k", "begin", "stop"))
     firsts = settled.filter("h1 is not null")
     least = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc", "k", "begin")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     earlier = (F.col("doc") > F.col("least.doc")) | ((F.col("doc") == F.col("least.doc")) & (F.col("k") == F.col("least.k")) & (F.col("begin") > F.col("least.begin")))
     across = firsts.join(least, ["h1", "h2"]).filter(earlier).select("doc", "k", "begin", "stop")
-    return dealt, done.unionByName(settled.filter("h1 is null").select("doc", "k", "begin", "stop")).unionByName(across)
+    return keyed, keys, done.unionByName(settled.filter("h1 is null").select("doc", "k", "begin", "stop")).unionByName(across)
 
 
 def merged(begin: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -372,9 +383,9 @@ def merged(begin: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 
 def _with_intervals(docs: DataFrame, **options) -> DataFrame:
     """doc, k, text, w: the intervals of each document."""
-    dealt, found = intervals(docs, **options)
-    lists = found.groupBy("doc", "k").agg(F.collect_set(F.struct("begin", "stop")).alias("w")).withColumnsRenamed({"doc": "doc2", "k": "k2"})
-    return dealt.join(lists.hint("shuffle_hash"), (F.col("doc") == F.col("doc2")) & (F.col("k") == F.col("k2")), "left").select("doc", "k", "text", "w")
+    keyed, keys, found = intervals(docs, **options)
+    lists = found.groupBy(*keys).agg(F.collect_set(F.struct("begin", "stop")).alias("w"))
+    return keyed.join(lists.hint("shuffle_hash"), keys, "left").select("doc", "k", "text", "w")
 
 
 def _spans(wanted) -> list[tuple[int, int]]:
