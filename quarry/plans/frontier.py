@@ -8,6 +8,7 @@ executor costs a read. Nothing is collected but the number of new rows.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,19 @@ MAX_DEPTH = 25
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in spark.checkpoint.dir; where that is unset (one machine) a temporary folder is set once."""
-    context = df.sparkSession.sparkContext
+    """Cut lineage by a table in the folder that spark.checkpoint.dir names; where that is unset (one machine) a temporary one is set once.
+
+    A written table is computed once, where an eager checkpoint is computed twice,
+    and its size is known to the joins that read it.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         wanted = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/level-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = MAX_DEPTH) -> DataFrame:
