@@ -636,9 +636,20 @@ def _(g):
 @graph_query("R8_entry_reachable", """, st(entry, path, want, hops) as (select path, path, '*', 0 from file where entry_point union select st.entry, substr(i.dst, 6), want, hops + 1 from st join internal i on i.src = 'file:' || st.path where hops < 3)
 select 'sym:' || s.path || '#' || s.name as sym, min(entry) as entry, cast(arg_min(hops, (entry, hops)) as int) as hops from st join symbol s on s.path = st.path and s.exported group by 1""", True)
 def _(g):
+    return _entry_reachable(g, 3)
+
+
+def _entry_reachable(g: Graph, max_hops: int | None) -> DataFrame:
     re_ = g.of("IMPORTS").filter("kind = 'internal'").select(tail(F.col("src")).alias("path"), tail(F.col("dst")).alias("target"), F.lit("star").alias("kind"), F.lit(None).cast("string").alias("exported"), F.lit(None).cast("string").alias("declared"))
     declared = g.symbols.filter("exported").select("path", "name", F.col("id").alias("sym"))
-    return tr.entry_reachable(re_, declared, g.files.filter("entry_point").select("path"), 3)
+    return tr.entry_reachable(re_, declared, g.files.filter("entry_point").select("path"), max_hops)
+
+
+@graph_query("R8_entry_reachable_any_depth", """, st(entry, path, hops) using key (entry, path) as (select path, path, 0 from file where entry_point union select st.entry, substr(i.dst, 6), min(st.hops) + 1 from st join internal i on i.src = 'file:' || st.path where not exists (select 1 from recurring.st r where r.entry = st.entry and r.path = substr(i.dst, 6)) group by 1, 2)
+select 'sym:' || s.path || '#' || s.name as sym, min(entry) as entry, cast(arg_min(hops, (entry, hops)) as int) as hops from st join symbol s on s.path = st.path and s.exported group by 1""", True)
+def _(g):
+    """The same with every chain followed to its end."""
+    return _entry_reachable(g, None)
 
 
 @graph_query("R9_affected_files", f", r(id) as (select dst from {TEN} union select i.src from r join internal i on i.dst = r.id) select id as node from r", True)

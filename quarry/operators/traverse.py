@@ -67,19 +67,23 @@ def build_impact(g: Graph, changed: DataFrame, max_depth: int = MAX_DEPTH) -> di
     return {"known": known.select("path"), "unknown": unknown.select("path"), "radius": radius, "domains": domains, "risky_exports": risky, "tests": tests}
 
 
-def entry_reachable(reexports: DataFrame, declared: DataFrame, entries: DataFrame, max_hops: int = MAX_DEPTH) -> DataFrame:
+def entry_reachable(reexports: DataFrame, declared: DataFrame, entries: DataFrame, max_hops: int | None = None) -> DataFrame:
     """sym, entry, hops: symbols that entry points expose through re-exports.
 
     `reexports` has path, target, kind (named or star), exported, declared;
     `declared` path, name, sym; `entries` path. A state is (entry, file, wanted
     name), where * wants all. A name that a file declares itself hides the stars
     behind it. Of several entries the first in order counts, then the fewest hops.
+    Without max_hops it runs until no state is new.
     """
-    local = declared.select("path", "name", "sym")
+    local = checkpointed(declared.select("path", "name", "sym"))  # once, not once a level
+    reexports = checkpointed(reexports.select("path", "target", "kind", "exported", "declared"))
     named, star = reexports.filter("kind = 'named'"), reexports.filter("kind = 'star'")
     state = checkpointed(entries.select(F.col("path").alias("entry"), "path").distinct().withColumn("want", F.lit("*")).withColumn("hops", F.lit(0)))
     seen = state
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         n = state.join(named, "path").filter((F.col("want") == "*") | (F.col("want") == F.col("exported"))).select("entry", F.col("target").alias("path"), F.col("declared").alias("want"))
         s = state.join(star, "path").join(local.select("path", F.col("name").alias("want")), ["path", "want"], "left_anti").select("entry", F.col("target").alias("path"), "want")
         new = n.unionByName(s).distinct().join(seen.select("entry", "path", "want"), ["entry", "path", "want"], "left_anti").withColumn("hops", F.lit(hop))
@@ -87,5 +91,7 @@ def entry_reachable(reexports: DataFrame, declared: DataFrame, entries: DataFram
         if not state.limit(1).count():
             break
         seen = seen.unionByName(state)
+        if hop % 8 == 0:
+            seen = checkpointed(seen)
     hit = seen.join(local, "path").filter((F.col("want") == "*") | (F.col("want") == F.col("name")))
     return hit.groupBy("sym").agg(F.min(F.struct("entry", "hops")).alias("m")).select("sym", F.col("m.entry").alias("entry"), F.col("m.hops").alias("hops"))

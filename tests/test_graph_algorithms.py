@@ -70,3 +70,39 @@ def test_reexports(spark):
         spark.createDataFrame(re, "path string, target string, kind string, exported string, declared string"), spark.createDataFrame(declared, "path string, name string, sym string"), spark.createDataFrame([("index.ts",)], "path string")
     )
     assert {r["sym"]: r["hops"] for r in out.collect()} == {"sym:a.ts#x": 1, "sym:b.ts#inner": 1, "sym:c.ts#deep": 2}
+
+
+@pytest.mark.parametrize("length", [5, 30])
+def test_reexport_chains_of_any_length(spark, length):
+    chain = [(f"f{k}.ts", f"f{k + 1}.ts", "star", "*", "*") for k in range(length)] + [(f"f{length}.ts", "f0.ts", "star", "*", "*")]
+    declared = [(f"f{length}.ts", "deep", f"sym:f{length}.ts#deep")]
+    out = traverse.entry_reachable(
+        spark.createDataFrame(chain, "path string, target string, kind string, exported string, declared string"), spark.createDataFrame(declared, "path string, name string, sym string"), spark.createDataFrame([("f0.ts",)], "path string")
+    )
+    assert [(r["sym"], r["entry"], r["hops"]) for r in out.collect()] == [(f"sym:f{length}.ts#deep", "f0.ts", length)]
+
+
+def test_reexports_of_the_catalog_at_any_depth(spark):
+    """The registered query against a plain walk over the same edges."""
+    from quarry import catalog_queries as cq
+
+    sf = "/root/testdata/sf0.001"
+    g = cq.catalog_graph(spark, sf)
+    after = {}
+    for r in g.of("IMPORTS").filter("kind = 'internal'").select("src", "dst").collect():
+        after.setdefault(r["src"], set()).add(r["dst"])
+    names = {}
+    for r in g.symbols.filter("exported").select("path", "id").collect():
+        names.setdefault("file:" + r["path"], []).append(r["id"])
+    expected = {}
+    for entry in sorted(r["path"] for r in g.files.filter("entry_point").select("path").collect()):
+        front, far, hops = {"file:" + entry}, {}, 0
+        while front:
+            far |= dict.fromkeys(front, hops)
+            front, hops = {d for f in front for d in after.get(f, ())} - far.keys(), hops + 1
+        for f, h in far.items():
+            for sym in names.get(f, ()):
+                expected.setdefault(sym, (entry, h))
+    assert max(h for _, h in expected.values()) > 3
+    got = {r["sym"]: (r["entry"], r["hops"]) for r in cq.QUERIES["R8_entry_reachable_any_depth"](spark, sf).collect()}
+    assert got == expected
