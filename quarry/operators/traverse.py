@@ -67,31 +67,45 @@ def build_impact(g: Graph, changed: DataFrame, max_depth: int = MAX_DEPTH) -> di
     return {"known": known.select("path"), "unknown": unknown.select("path"), "radius": radius, "domains": domains, "risky_exports": risky, "tests": tests}
 
 
-def entry_reachable(reexports: DataFrame, declared: DataFrame, entries: DataFrame, max_hops: int | None = None) -> DataFrame:
+def entry_reachable(reexports: DataFrame, declared: DataFrame, entries: DataFrame, max_hops: int | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """sym, entry, hops: symbols that entry points expose through re-exports.
 
-    `reexports` has path, target, kind (named or star), exported, declared;
-    `declared` path, name, sym; `entries` path. A state is (entry, file, wanted
-    name), where * wants all. A name that a file declares itself hides the stars
-    behind it. Of several entries the first in order counts, then the fewest hops.
+    `reexports` has path, target, kind (named, star or namespace), exported,
+    declared; `declared` path, name, sym; `entries` path; `aliases` path, exported,
+    declared of local export lists. A state is (entry, file, wanted name), where *
+    wants all. A name that a file declares itself, or has as an alias of what it
+    declares, hides what it re-exports under that name. A namespace that is wanted
+    exposes all of its target. Of several entries the first in order counts, then the fewest hops.
     Without max_hops it runs until no state is new.
     """
     local = checkpointed(declared.select("path", "name", "sym"))  # once, not once a level
     reexports = checkpointed(reexports.select("path", "target", "kind", "exported", "declared"))
-    named, star = reexports.filter("kind = 'named'"), reexports.filter("kind = 'star'")
+    named, star, space = (reexports.filter(F.col("kind") == k) for k in ("named", "star", "namespace"))
+    if aliases is not None:
+        aliases = checkpointed(aliases.select("path", F.col("exported").alias("want"), F.col("declared").alias("meant")))
+
+    def meant(states: DataFrame) -> DataFrame:
+        """With name, what the wanted name is declared as."""
+        if aliases is None:
+            return states.withColumn("name", F.col("want"))
+        return states.join(aliases, ["path", "want"], "left").withColumn("name", F.coalesce("meant", "want")).drop("meant")
+
     state = checkpointed(entries.select(F.col("path").alias("entry"), "path").distinct().withColumn("want", F.lit("*")).withColumn("hops", F.lit(0)))
     seen = state
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        n = state.join(named, "path").filter((F.col("want") == "*") | (F.col("want") == F.col("exported"))).select("entry", F.col("target").alias("path"), F.col("declared").alias("want"))
-        s = state.join(star, "path").join(local.select("path", F.col("name").alias("want")), ["path", "want"], "left_anti").select("entry", F.col("target").alias("path"), "want")
-        new = n.unionByName(s).distinct().join(seen.select("entry", "path", "want"), ["entry", "path", "want"], "left_anti").withColumn("hops", F.lit(hop))
+        front = meant(state).join(local.select("path", "name"), ["path", "name"], "left_anti").select("entry", "path", "want")
+        asked = (F.col("want") == "*") | (F.col("want") == F.col("exported"))
+        n = front.join(named, "path").filter(asked).select("entry", F.col("target").alias("path"), F.col("declared").alias("want"))
+        s = front.join(star, "path").select("entry", F.col("target").alias("path"), "want")
+        a = front.join(space, "path").filter(asked).select("entry", F.col("target").alias("path"), F.lit("*").alias("want"))
+        new = n.unionByName(s).unionByName(a).distinct().join(seen.select("entry", "path", "want"), ["entry", "path", "want"], "left_anti").withColumn("hops", F.lit(hop))
         state = checkpointed(new.select("entry", "path", "want", "hops"))
         if not state.limit(1).count():
             break
         seen = seen.unionByName(state)
         if hop % 8 == 0:
             seen = checkpointed(seen)
-    hit = seen.join(local, "path").filter((F.col("want") == "*") | (F.col("want") == F.col("name")))
+    hit = meant(seen).withColumnRenamed("name", "own").join(local, "path").filter((F.col("want") == "*") | (F.col("own") == F.col("name")))
     return hit.groupBy("sym").agg(F.min(F.struct("entry", "hops")).alias("m")).select("sym", F.col("m.entry").alias("entry"), F.col("m.hops").alias("hops"))

@@ -106,3 +106,17 @@ def test_reexports_of_the_catalog_at_any_depth(spark):
     assert max(h for _, h in expected.values()) > 3
     got = {r["sym"]: (r["entry"], r["hops"]) for r in cq.QUERIES["R8_entry_reachable_any_depth"](spark, sf).collect()}
     assert got == expected
+
+
+def test_reexported_namespaces_and_aliases(spark):
+    re = [
+        ("index.ts", "space.ts", "namespace", "ns", "*"), ("space.ts", "deep.ts", "star", "*", "*"),
+        ("index.ts", "mid.ts", "named", "wanted", "inner"), ("mid.ts", "all.ts", "namespace", "inner", "*"), ("mid.ts", "never.ts", "namespace", "other", "*"),
+        ("index.ts", "own.ts", "named", "default", "default"), ("own.ts", "behind.ts", "star", "*", "*"), ("own.ts", "behind.ts", "named", "default", "default"),
+    ]
+    declared = [(p, n, f"sym:{p}#{n}") for p, n in [("space.ts", "a"), ("deep.ts", "b"), ("all.ts", "c"), ("never.ts", "d"), ("own.ts", "real"), ("own.ts", "hidden"), ("behind.ts", "default"), ("behind.ts", "real")]]
+    out = traverse.entry_reachable(
+        spark.createDataFrame(re, "path string, target string, kind string, exported string, declared string"), spark.createDataFrame(declared, "path string, name string, sym string"), spark.createDataFrame([("index.ts",)], "path string"),
+        aliases=spark.createDataFrame([("own.ts", "default", "real")], "path string, exported string, declared string"),
+    )
+    assert {r["sym"]: r["hops"] for r in out.collect()} == {"sym:space.ts#a": 1, "sym:deep.ts#b": 2, "sym:all.ts#c": 2, "sym:own.ts#real": 1}
