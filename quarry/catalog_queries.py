@@ -733,6 +733,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", fp.slug(F.substring("text", 1, 40)).alias("slug"))
 
 
+@table_query("F13_F26_whole_text", r"""select doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, case when length(flat) > 80 then substr(flat, 1, 79) || '…' else flat end as fragment
+from (select doc_id, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) as flat from documents)""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", fp.slug(F.col("text")).alias("slug"), fp.fragment(F.col("text"), 80).alias("fragment"))
+
+
 @table_query("F15_human_bytes", "select doc_id, case when n_chars * 37 < 1024 then n_chars * 37 || ' B' when n_chars * 37 < 1048576 then format('{:.1f} KB', round(n_chars * 37 / 1024.0, 1)) else format('{:.1f} MB', round(n_chars * 37 / 1048576.0, 1)) end as size from documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", fp.human_bytes(F.col("n_chars") * 37).alias("size"))

@@ -1,5 +1,7 @@
 """Every catalog query against its SQL in DuckDB, on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -47,3 +49,15 @@ def test_projection_counts(graph):
     assert graph.symbols.count() == 1905
     assert graph.of("IMPORTS").filter("kind = 'internal'").count() == 189
     assert graph.of("REFERENCES").count() == 994
+
+
+def test_whole_texts(spark):
+    """Slugs and fragments against plain Python over whole texts."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in cq.QUERIES["F13_F26_whole_text"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        flat = re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ")
+        assert got[k]["slug"] == re.sub("[^a-z0-9_]+", "-", t.lower()).strip("-")
+        assert got[k]["fragment"] == (flat if len(flat) <= 80 else flat[:79] + "…")
+    assert max(len(r["slug"]) for r in got.values()) > 40
