@@ -837,6 +837,17 @@ def _(spark, d):
     return t.select("doc_id", fp.first_doc_line(F.concat(F.lit("/**\n * "), "text"), 60).alias("line"))
 
 
+@table_query("P15_slice_lines_any", "select doc_id, case when text is not null then coalesce(array_to_string(string_split(text, chr(10))[2:4], chr(10)), '') end as part from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", fp.slice_lines(F.col("text"), 2, 4).alias("part"))
+
+
+@table_query("P16_first_doc_line_any", r"""select doc_id, case when length(l) > 60 then substr(l, 1, 59) || '…' else l end as line from (select doc_id, trim(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)),
+lambda s: trim(regexp_replace(regexp_replace(s, '^[ \t\n\x0B\f\r]*(/\*+|\*+/|\*+|//+)?', ''), '\*+/[ \t\n\x0B\f\r]*$', ''))), lambda s: s <> '')[1], ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) as l from documents)""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", fp.first_doc_line(F.col("text"), 60).alias("line"))
+
+
 @table_query("I2_staleness", """select p_partkey, case when p_size % 9 = 0 then 'no-cache' when p_size % 7 = 0 then 'build-incomplete' when p_size % 5 = 0 then 'build-context-changed' when p_size % 4 = 0 then 'revision-changed' when p_size % 3 = 0 then 'working-tree-changed' else 'up-to-date' end as reason,
 p_size % 9 = 0 or p_size % 7 = 0 or p_size % 5 = 0 or p_size % 4 = 0 or p_size % 3 = 0 as stale from part""")
 def _(spark, d):

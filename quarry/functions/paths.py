@@ -162,6 +162,11 @@ def fragment(text: Column, most: int) -> Column:
     return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
+def slice_lines(text: Column, first: int, last: int) -> Column:
+    """Lines first to last, counted from one; what lies beyond the end is left out."""
+    return F.array_join(F.slice(F.split(text, "\n", -1), first, last - first + 1), "\n")
+
+
 def first_doc_line(raw: Column, most: int = 100) -> Column:
     """First line of a comment that is not empty once its marks are off, cut with an ellipsis."""
     bare = F.filter(F.transform(F.split(raw, "\n"), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^\s*(/\*+|\*+/|\*+|//+)?", ""), r"\*+/\s*$", ""))), lambda s: s != "")

@@ -61,3 +61,16 @@ def test_whole_texts(spark):
         assert got[k]["slug"] == re.sub("[^a-z0-9_]+", "-", t.lower()).strip("-")
         assert got[k]["fragment"] == (flat if len(flat) <= 80 else flat[:79] + "…")
     assert max(len(r["slug"]) for r in got.values()) > 40
+
+
+def test_lines_of_every_text(spark, tmp_path):
+    """Texts that are empty, short, null or begin with marks and blanks have rows too."""
+    texts = {1: "", 2: None, 3: "one", 4: "a\nb", 5: "\n\n  // x  y */\nz", 6: "/**", 7: "é\nb\nc\nd\ne", 8: " * " + "w" * 70}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: {r[0]: r[1] for r in cq.QUERIES[name](spark, str(tmp_path)).select("doc_id", "part" if name.startswith("P15") else "line").collect()}
+    assert rows("P15_slice_lines_any") == {1: "", 2: None, 3: "", 4: "b", 5: "\n  // x  y */\nz", 6: "", 7: "b\nc\nd", 8: ""}
+    assert rows("P16_first_doc_line_any") == {1: "", 2: "", 3: "one", 4: "a", 5: "x y", 6: "", 7: "é", 8: "w" * 59 + "…"}
+    for name in ("P15_slice_lines_any", "P16_first_doc_line_any"):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        assert dict(con.execute(cq.SQL[name]).fetchall()) == rows(name)
