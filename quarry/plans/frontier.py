@@ -7,29 +7,17 @@ executor costs a read. Nothing is collected but the number of new rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 MAX_DEPTH = 25
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder that spark.checkpoint.dir names; where that is unset (one machine) a temporary one is set once.
-
-    A written table is computed once, where an eager checkpoint is computed twice,
-    and its size is known to the joins that read it.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        wanted = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="quarry-"))
-    path = f"{context.getCheckpointDir()}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut lineage by a table in the shared folder."""
+    return written(df, "level")
 
 
 def reach(seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = MAX_DEPTH) -> DataFrame:
@@ -52,26 +40,3 @@ def reach(seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = MAX_DEP
         front = new.select("node")
     steps.unpersist()
     return seen
-
-
-def labelled_reach(seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = None) -> DataFrame:
-    """root, node, depth: `reach` from each seed on its own (seeds has a column node)."""
-    steps = edges.select("src", "dst").distinct().persist()
-    seen = checkpointed(seeds.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
-    front, depth = seen.select("root", "node"), 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        new = front.join(steps, front["node"] == steps["src"]).select("root", F.col("dst").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        new = checkpointed(new.withColumn("depth", F.lit(depth)))
-        if not new.limit(1).count():
-            break
-        seen = seen.unionByName(new)
-        if depth % 8 == 0:
-            seen = checkpointed(seen)
-        front = new.select("root", "node")
-    steps.unpersist()
-    return seen
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
