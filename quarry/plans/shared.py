@@ -73,12 +73,13 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     these are broadcast and their rows stay where they are; no task gets more
     than that part of the others. `weight` is not among the columns returned.
     """
-    bound = max(total // HEAVY_PARTS, 1_000)
     if total <= BROADCAST_ROWS:
         return left.join(right.drop(weight).hint("broadcast"), keys)
+    bound = max(total // HEAVY_PARTS, 1_000)
     heavy = right.filter(F.col(weight) > bound).drop(weight)
     light = right.filter(F.col(weight) <= bound).drop(weight)
-    return left.join(heavy.hint("broadcast"), keys).unionByName(left.join(light.hint("merge"), keys))
+    rest = left.join(heavy.select(*keys).hint("broadcast"), keys, "left_anti")
+    return left.join(heavy.hint("broadcast"), keys).unionByName(rest.join(light.hint("merge"), keys))
 
 
 def fresh(name: str, taken: list[str]) -> str:
