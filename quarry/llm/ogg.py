@@ -3,7 +3,8 @@
 `write_stream` makes a physical stream of one or more logical ones, `read_stream`
 parses it: page checksums are verified, packets are put together from lacing
 values across pages, logical streams are told apart by serial number, and each
-packet gets a timestamp from the granule positions of its pages.
+packet gets a timestamp from the granule positions of its pages. A stored text is
+two logical streams, of samples and of levels, with their pages in turn.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import json
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._ragged import groups
+
 RATE = 8000
 BLOCK = 64
 SAMPLES = 4096
 HEAD = struct.Struct("<4sBBqIIIB")
 #: Of samples as a packet: name of the mapping, version, channels, bits, rate.
 PCM = struct.Struct("<8sBBHI")
-MAGIC = b"PCM8raw "
+MAGIC, LEVELS = b"PCM8raw ", b"PCM8lev "
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
@@ -42,10 +46,7 @@ def page_checksum(page: bytes) -> int:
 @dataclass
 class Packet:
     data: bytes
-    granule: int  # of the packet's end
-
-    def seconds(self, rate: int = RATE) -> float:
-        return self.granule / rate
+    granule: int  # of the packet's end if it is the last that ends on a page, else -1
 
 
 @dataclass
@@ -145,26 +146,75 @@ def read_stream(media: bytes) -> dict[int, Logical]:
     return found
 
 
+def levels(payload: bytes, at: int) -> bytes:
+    """Lowest, highest and rounded mean sample of the packet that begins at `at`."""
+    part = np.frombuffer(payload, np.uint8, min(SAMPLES, len(payload) - at), at)
+    return bytes((int(part.min()), int(part.max()), int(part.mean() + 0.5)))
+
+
 def store_samples(payload: bytes) -> bytes:
-    """Samples of 8 bits, one channel, losslessly. The serial number follows from them, so equal payloads are stored alike."""
-    packets = [(PCM.pack(MAGIC, 1, 1, 8, RATE), 0)]
-    packets += [(payload[k : k + SAMPLES], min(k + SAMPLES, len(payload))) for k in range(0, len(payload), SAMPLES)]
-    return write_stream([(zlib.crc32(payload), packets)])
+    """Samples of 8 bits, one channel, losslessly, and beside them a stream with the levels of each packet of samples.
+
+    Both streams count samples in their granule positions. Serial numbers follow
+    from the samples, so equal payloads are stored alike.
+    """
+    ends = [(k, min(k + SAMPLES, len(payload))) for k in range(0, len(payload), SAMPLES)]
+    samples = [(PCM.pack(MAGIC, 1, 1, 8, RATE), 0)] + [(payload[k:end], end) for k, end in ends]
+    beside = [(PCM.pack(LEVELS, 1, 3, 8, RATE), 0)] + [(levels(payload, k), end) for k, end in ends]
+    serial = zlib.crc32(payload)
+    return write_stream([(serial, samples), ((serial + 1) & 0xFFFFFFFF, beside)])
+
+
+def positions(packets: list[Packet], units: Callable[[int, Packet], int]) -> list[int]:
+    """Granule position at which each packet ends.
+
+    A page tells that of the last packet that ends on it; those of the packets
+    before it on the page follow by counting back their units. Raises ValueError
+    if the first of them would not begin where the page before ended.
+    """
+    out, held, before = [], [], 0
+    for k, p in enumerate(packets):
+        held.append((k, p))
+        if p.granule < 0:
+            continue
+        ends, at = [], p.granule
+        for j, q in reversed(held):
+            ends.append(at)
+            at -= units(j, q)
+        if at != before:
+            raise ValueError("granule positions and packets disagree")
+        out += reversed(ends)
+        held, before = [], p.granule
+    if held:
+        raise ValueError("packets without a granule position")
+    return out
 
 
 def load_samples(media: bytes) -> tuple[bytes, list[float]]:
-    """The samples of a stored payload and the second at which each packet ends."""
+    """The samples of a stored payload and the second at which each packet ends, from the granule positions.
+
+    The logical streams are told apart by their first packets. Raises ValueError
+    if one is missing or damaged, or if the two disagree on times or levels.
+    """
+    by_kind = {}
     for stream in read_stream(media).values():
         head, *rest = stream.packets
-        if len(head.data) == PCM.size and head.data.startswith(MAGIC):
-            rate, done, times = PCM.unpack(head.data)[4], 0, []
-            for p in rest:
-                done += len(p.data)
-                if p.granule >= 0 and p.granule != done:
-                    raise ValueError("granule positions and samples disagree")
-                times.append(done / rate)
-            return b"".join(p.data for p in rest), times
-    raise ValueError("no stream of samples")
+        if len(head.data) != PCM.size or head.granule != 0:
+            raise ValueError(f"stream {stream.serial} does not say what it holds")
+        kind, version, _, bits, rate = PCM.unpack(head.data)
+        if version != 1 or bits != 8 or not rate or kind in by_kind:
+            raise ValueError(f"stream {stream.serial} is of an unknown kind")
+        by_kind[kind] = (rest, rate)
+    if set(by_kind) != {MAGIC, LEVELS}:
+        raise ValueError("no stream of samples, or none of levels")
+    (packets, rate), (beside, _) = by_kind[MAGIC], by_kind[LEVELS]
+    ends = positions(packets, lambda _, p: len(p.data))
+    if len(beside) != len(packets) or positions(beside, lambda k, _: len(packets[k].data)) != ends:
+        raise ValueError("the streams end at different times")
+    samples = b"".join(p.data for p in packets)
+    if any(q.data != levels(samples, end - len(p.data)) for p, q, end in zip(packets, beside, ends)):
+        raise ValueError("samples and levels disagree")
+    return samples, [end / rate for end in ends]
 
 
 def feature(samples: bytes, times: list[float]) -> str:
@@ -195,8 +245,8 @@ def to_media(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for begin, end in groups(batch.column(1)):
+                part = batch.slice(begin, end - begin)
                 made = [padded(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([store_samples(p) for _, p in made], pa.binary())], schema=schema)
 
@@ -213,8 +263,8 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for begin, end in groups(batch.column(2)):
+                part = batch.slice(begin, end - begin)
                 rows = []
                 for m in part.column(2):
                     stored = m.as_py()

@@ -1,6 +1,7 @@
 """Tokenizers, sequence files, media and packing: against the libraries, round trips and bounds."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -26,7 +27,9 @@ ALPHABET = st.text(st.sampled_from(list("aeinrst THE.,'\n\t▁<|>0é😀ß\x00\x
 @given(st.lists(ALPHABET | st.text(max_size=30), max_size=5))
 def test_agenda_is_the_library(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    got = sentencepiece_codec.piece_codec(PIECES).texts(pa.array(texts, pa.string()))
+    codec = sentencepiece_codec.piece_codec(PIECES)
+    got = codec.texts(pa.array(texts, pa.string()))
+    assert codec.differences == 0
     assert [x.tolist() for x in got] == [LIBRARY.encode(t) for t in texts]
 
 
@@ -55,9 +58,19 @@ def test_sentencepiece_rows(odd, empty, documents):
             ids = LIBRARY.encode(r["text"] or "")
             expected.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()))
         assert rows(sentencepiece_codec.encode_decode(docs, PIECES)) == sorted(expected, key=repr)
+    count = odd.sparkSession.sparkContext.accumulator(0)
+    sentencepiece_codec.encode_decode(odd, PIECES, differences=count).collect()
+    assert count.value == 0
     assert sentencepiece_codec.encode_decode(empty, PIECES).count() == 0
 
 
+def test_a_difference_is_counted_and_the_library_is_right():
+    codec = sentencepiece_codec.PieceCodec(PIECES)
+    codec.agenda = lambda segment: [7]
+    assert [x.tolist() for x in codec.texts(pa.array(["a strange text", " two  spaces "]))] == [LIBRARY.encode("a strange text"), LIBRARY.encode(" two  spaces ")]
+    assert codec.differences == 4
+
+
 def test_sequence_files(odd, empty, spark):
     got = arrow_sequences.sequence_store(odd, WORDS, end_id=2)
     expected = {}
@@ -105,6 +118,21 @@ def test_ogg_round_trip(packets, big):
     assert ogg.page_checksum(media[:100]) == slow_crc(media[:100])
 
 
+def test_ogg_times_come_from_granules():
+    """Two streams; a page without the granule that its packets need, or with another, is refused."""
+    payload = bytes(range(256)) * 700
+    media = ogg.store_samples(payload)
+    streams = ogg.read_stream(media)
+    assert len(streams) == 2 and ogg.load_samples(media)[1] == [min(k + ogg.SAMPLES, len(payload)) / ogg.RATE for k in range(0, len(payload), ogg.SAMPLES)]
+    (a, x), (b, y) = ((s, [(p.data, 0) for p in v.packets]) for s, v in streams.items())
+    ends = [0] + [min(k + ogg.SAMPLES, len(payload)) for k in range(0, len(payload), ogg.SAMPLES)]
+    timed = lambda packets, shift: [(d, e + shift * (k == len(ends) - 1)) for k, ((d, _), e) in enumerate(zip(packets, ends))]
+    assert ogg.load_samples(ogg.write_stream([(a, timed(x, 0)), (b, timed(y, 0))]))[0] == payload
+    for wrong in ([(a, timed(x, 7)), (b, timed(y, 0))], [(a, timed(x, 0)), (b, timed(y, 7))], [(a, timed(x, 0))], [(a, timed(x, 0)), (b, timed(y, 0)[:-1])], [(a, timed(x, 0)), (b, [*timed(y, 0)[:-1], (b"abc", ends[-1])])]):
+        with pytest.raises(ValueError):
+            ogg.load_samples(ogg.write_stream(wrong))
+
+
 def test_ogg_damage():
     media = bytearray(ogg.store_samples(bytes(range(256)) * 40))
     samples, times = ogg.load_samples(bytes(media))
@@ -124,12 +152,17 @@ def test_media_rows(odd, empty):
     by = {(r["n_bytes"], r["payload_sha256"]): (r["media_sha256"], r["feature"]) for r in out}
     for r in out:
         assert r["payload_bytes"] % 64 == 0 and r["payload_bytes"] >= 64 and by[r["n_bytes"], r["payload_sha256"]] == (r["media_sha256"], r["feature"])
-    texts = {r["doc_id"]: r["text"] for r in odd.filter("doc_id in (2, 5, 9)").collect()}
-    for r in out:
-        if r["doc_id"] in texts:
-            raw = texts[r["doc_id"]].encode()
-            raw += bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-            assert (r["payload_sha256"], r["tail_crc32"]) == (hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+    expected = []
+    for r in odd.collect():
+        raw = (r["text"] or "").encode()
+        n, raw = len(raw), raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media, x = ogg.store_samples(raw), np.frombuffer(raw, np.uint8).astype(float)
+        want = {"seconds": round(len(raw) / 8000, 6), "packets": -(-len(raw) // 4096), "mean": round(x.mean(), 6), "deviation": round(x.std(), 6), "crossings": sum((p >= 128) != (q >= 128) for p, q in zip(raw, raw[1:]))}
+        want["quarters"] = [round(sum(k * 64 <= p < k * 64 + 64 for p in raw) / len(raw), 6) for k in range(4)]
+        expected.append((r["doc_id"], n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media), hashlib.sha256(media).hexdigest(), want))
+    have = [(*(r[c] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")), json.loads(r["feature"])) for r in out]
+    for got, want in zip(sorted(have, key=repr), sorted(expected, key=repr)):
+        assert got[:7] == want[:7] and all(got[7][k] == pytest.approx(want[7][k], abs=2e-6) for k in want[7])
     assert ogg.media_features(ogg.to_media(empty)).count() == 0
 
 
