@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.plans.shared import BROADCAST_ROWS, fresh, join_heavy, scratch, shared_dir, sized, written  # noqa: F401
 from quarry.plans.shipping import ship
 
 
@@ -16,38 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share.
-
-    It is the one that ``spark.checkpoint.dir`` names. Where that is unset (one
-    machine, as in tests) a temporary folder of this machine is set once.
-    """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if not current:
-        wanted = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="quarry-"))
-        current = context.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a read of the files, never a
-    new run of what made them.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

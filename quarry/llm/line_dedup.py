@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import fresh
+
 LINES = 3
 
 
@@ -42,19 +44,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     and stays; a null text stays null, with no lines; an empty text is one empty
     line. Rows that repeat both doc_id and text are one document: all get the
     same result. Rows of one doc_id with other texts follow each other by the
-    hash of their texts. A null doc_id counts as the smallest. Further columns
-    stay as they are, but `n_lines` and `n_removed` are replaced.
+    hash of their texts. A null doc_id counts as the smallest. An empty table
+    gives none. Further columns stay as they are, whatever their names: where
+    `docs` has an n_lines or n_removed of its own (in any case of letters), the
+    count beside it gets an underscore behind its name.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated(docs).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "covered")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(gone, (F.col("_key") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    parts = joined.withColumn("_lines", F.split("text", "\n", -1))
-    keep = "array_join(transform(array_except(sequence(0, size(_lines) - 1), covered), i -> get(_lines, i)), '\\n')"
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.expr(keep))
-    counted = parts.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("covered"), F.lit(0)).cast("long"))
-    counted = counted.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long")).withColumn("n_removed", F.when(F.col("covered").isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
-    return counted.withColumn("text", text).select(*[F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
+    names = docs.columns
+    gone = repeated(docs).select(F.col("doc_id").alias("doc"), "th", "covered")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("of"), F.col("text").alias("was"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    joined = rows.join(gone, (F.col("key") == F.col("th")) & F.col("of").eqNullSafe(F.col("doc")), "left").withColumn("lines", F.split("was", "\n", -1))
+    keep = "array_join(transform(array_except(sequence(0, size(lines) - 1), covered), i -> get(lines, i)), '\\n')"
+    left = F.when(F.col("covered").isNull(), F.col("was")).otherwise(F.expr(keep))
+    n_lines = F.when(F.col("was").isNull(), 0).otherwise(F.size("lines")).cast("long").alias(fresh("n_lines", names))
+    n_removed = F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias(fresh("n_removed", names))
+    return joined.select(*[(left if c == "text" else F.col("row").getField(c)).alias(c) for c in names], n_lines, n_removed)
 
 
 def digests(docs: DataFrame) -> DataFrame:
