@@ -13,6 +13,13 @@ apart exactly if some value is at most one bit from x and at most two from y, so
 all y around a value are linked to the smallest x around it.
 
 Components come from alternating star contraction over written tables.
+
+Few differing bits are a narrow rule: texts that share four fifths of their
+five-word shingles mostly differ in more than three. For a similarity of sets
+(`similar_groups`) the shingles are dealt into blocks by their hashes, and each
+block has a fingerprint of its own. Two sets that are similar enough differ in
+fewer shingles than there are blocks, so by the same pigeonhole they share a
+block; pairs that do are verified by the similarity of their whole texts.
 """
 
 from __future__ import annotations
@@ -25,10 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import release, written
+from ._ragged import groups
+from ._shared import BROADCAST_ROWS, join_heavy, release, sized, written
 
 WORDS = 3
 DISTANCE = 3
+#: Of the similarity of sets.
+STAGE_WORDS = 5
+SIMILARITY = 0.8
 #: First bits and widths of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 SHARED = len(BLOCKS) - DISTANCE
@@ -38,22 +49,32 @@ CROWD = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Of a whole text. Zero without words; the whole sequence is the only shingle of a text with fewer words."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Of a whole text, in order and with repeats. The whole sequence is the only shingle of a text with fewer words; none has none."""
     from xxhash import xxh64_intdigest
 
     # bytes.split() parts at 0x20 and 0x09-0x0D, as the word pattern does
     parts = (text or "").encode("utf-8").translate(_LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join
     if len(parts) <= words:
-        return xxh64_intdigest(joined(parts), 42)
+        return np.array([xxh64_intdigest(joined(parts), 42)], np.uint64)
     if words == 3:
-        shingles = [b"%b %b %b" % t for t in zip(parts, parts[1:], parts[2:])]
+        shingles = (b"%b %b %b" % t for t in zip(parts, parts[1:], parts[2:]))
     else:
-        shingles = [joined(parts[k : k + words]) for k in range(len(parts) - words + 1)]
-    h = np.fromiter([xxh64_intdigest(s, 42) for s in shingles], np.uint64, len(shingles))
+        shingles = map(joined, zip(*(parts[k:] for k in range(words))))
+    return np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(parts) - words + 1)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Of a whole text; zero without words."""
+    h = shingle_hashes(text, words)
+    return majority(h) if len(h) else 0
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         part = h[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -68,8 +89,8 @@ def fingerprints(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     def run(batches):
         release()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for begin, end in groups(batch.column(1)):
+                part = batch.slice(begin, end - begin)
                 fps = np.array([fingerprint(t, words) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], schema=schema)
 
@@ -88,12 +109,12 @@ def links(fps: DataFrame) -> DataFrame:
     """
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(MASKS)]))
     keyed = fps.select("fp", keys.alias("k")).select("fp", "k.t", "k.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).filter("n > 1")
-    shared = written(keyed.join(sizes, ["t", "key"]), "simhash-keys")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("weight", F.col("n"))
+    shared = written(join_heavy(keyed, sizes, ["t", "key"], "weight", len(MASKS) * fps.count()), "simhash-keys")
     few = shared.filter(F.col("n") <= CROWD).select("t", "key", "fp")
     other = few.select("t", "key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    pairs = few.withColumnRenamed("fp", "a").join(other, ["t", "key"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = few.withColumnRenamed("fp", "a").join(sized(other, other.count()), ["t", "key"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
     crowd = shared.filter(F.col("n") > CROWD).select("fp").distinct()
     return pairs.distinct().unionByName(_crowded(crowd))
 
@@ -117,7 +138,8 @@ def _crowded(fps: DataFrame) -> DataFrame:
     close = fps.mapInArrow(around(one), "v long, fp long").groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.count("*").alias("n"))
     # what one bit away has nobody else stands only for its own fingerprint
     wide = fps.mapInArrow(around(np.concatenate([one, two])), "v long, fp long")
-    found = wide.join(close, "v").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).filter("a <> b")
+    # a value has at most 2081 fingerprints around it, so no key of this join is heavy
+    found = wide.join(close.hint("merge"), "v").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).filter("a <> b")
     return found.distinct()
 
 
@@ -129,12 +151,14 @@ def near_components(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     has no other; repeated rows each give a row; an empty table gives none.
     """
     made = written(fingerprints(docs, words=words), "fingerprints")
-    nodes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp")))  # of nodes with links
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return made.join(by_fp, "fp")
+    nodes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
+    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")  # of nodes with links
+    rooted = nodes.join(sized(roots, roots.count()), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted, "simhash-roots")
+    count = rooted.count()
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
+    by_fp = join_heavy(rooted, least, ["root"], "weight", count).select("fp", "component_id", "n")
+    return join_heavy(made, by_fp, ["fp"], "n", made.count())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -142,11 +166,204 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, with all its columns.
+def representatives(docs: DataFrame, *, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of `similar_groups`, that of the smallest doc_id, with all its columns.
 
-    Rows that share this doc_id all stay, as do rows of null doc_id.
+    Rows that share this doc_id all stay, as do rows of null doc_id. The caller's
+    columns may have any names.
     """
-    keep = near_components(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    by_id = docs.join(keep, docs["doc_id"].cast("long") == F.col("_keep"), "left_semi")
-    return by_id.unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = similar_groups(docs, words=words, similarity=similarity)
+    gone = written(found.filter("node <> root").select("node").distinct(), "near-copies")
+    return docs.join(sized(gone, gone.count()), docs["doc_id"].cast("long") == gone["node"], "left_anti")
+
+
+# similarity of sets ------------------------------------------------------------
+
+
+def _classes(least: int = 1 << 40) -> list[int]:
+    """Upper bounds of the classes of set sizes: each half as large again as the one before."""
+    out = [1]
+    while out[-1] < least:
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return out
+
+
+CLASSES = np.array(_classes(), np.int64)
+#: Sets of a class up to this size are dealt into blocks three times.
+SMALL = 100
+
+
+def block_keys(shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys of a set of distinct shingle hashes; sets of at least that Jaccard similarity share one.
+
+    Two sets of at most U elements each differ in at most 2U (1 - s) / (1 + s)
+    elements if they are that similar. Dealt into one block more than that, some
+    block has none of them, and its fingerprint is the same in both. (That block
+    could be an empty one; small sets, where this can happen, are dealt three
+    times. Large sets are dealt into half as many blocks: of those, several are
+    left alone, and none with a probability under 0.001.) A set has the keys of
+    its own class of sizes and of the classes of all larger sets that can be as
+    similar.
+    """
+    n = len(shingles)
+    out = []
+    first, last = int(np.searchsorted(CLASSES, n)), int(np.searchsorted(CLASSES, int(n / similarity + 1e-9)))
+    for c, deal in ((c, deal) for c in range(first, last + 1) for deal in range(3 if CLASSES[c] <= SMALL else 1)):
+        m = int(2 * int(CLASSES[c]) * (1 - similarity) / (1 + similarity) + 1e-9) + 1
+        m = m if CLASSES[c] <= SMALL else -(-m // 2)
+        seed = np.uint64((c * 0x2545F4914F6CDD1D + deal * 0xA0761D6478BD642F) & (1 << 64) - 1)
+        mixed = (shingles ^ (shingles >> np.uint64(31)) ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+        block = ((mixed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        order = np.argsort(block, kind="stable")
+        block, held = block[order], shingles[order]
+        heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        sizes = np.diff(np.append(heads, n))
+        fp = np.empty(len(heads), np.uint64)
+        for at in range(0, len(heads), 1 << 14):  # the bits of a long text are not unfolded all at once
+            h, k = heads[at : at + (1 << 14)], sizes[at : at + (1 << 14)]
+            bits = np.unpackbits(held[h[0] : h[-1] + k[-1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, h - h[0], axis=0, dtype=np.int32)
+            fp[at : at + len(h)] = np.packbits(2 * ones > k[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        key = (fp ^ (block[heads] * np.uint64(0xD6E8FEB86659FD93)) ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append(key ^ (key >> np.uint64(29)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending; a text without words has one element, the same for all."""
+    h = np.unique(shingle_hashes(text, words))
+    return h if len(h) else np.zeros(1, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+#: Rows of one key up to which all pairs are looked at; in larger ones each row meets LEADERS others at most.
+CROWD_OF_TEXTS = 64
+LEADERS = 8
+#: Bits in which fingerprints of similar sets differ at most: a similarity of 0.8 gives 9.7 on average, with a deviation of 2.9.
+SET_DISTANCE = 22
+#: Pairs of one text that are verified in one place; a text in more pairs is sent out that much more often.
+FANOUT = 256
+
+MADE = "doc long, th long, fp long, n long, keys array<long>"
+
+
+def _made(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc, th, fingerprint, number of shingles and block keys of every text."""
+    schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches):
+        release()
+        for batch in batches:
+            for begin, end in groups(batch.column(2)):
+                part = batch.slice(begin, end - begin)
+                found, fps, sizes = [], [], []
+                for t in part.column(2).to_pylist():
+                    h = shingle_set(t, words)
+                    found.append(block_keys(h, similarity).view(np.int64))
+                    fps.append(majority(h))
+                    sizes.append(len(h))
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), keys], schema=schema)
+
+    return written(texts.mapInArrow(run, MADE), "block-keys")
+
+
+def _first_pairs(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of each row with the first of its key, in an order by hash; and the keys of more than one row, with their numbers."""
+    first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc").alias("o"), "doc")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    first = written(first.select("key", F.col("f.doc").alias("b"), "n"), "block-firsts")
+    pairs = join_heavy(rows, first, ["key"], "n", total).filter("doc <> b").select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"))
+    return written(pairs.distinct(), "near-pairs"), first.select("key", "n")
+
+
+def _further_pairs(rows: DataFrame, total: int, shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that share a key but are not in one group yet: all of a key with few rows, LEADERS of each row in a crowd."""
+    held = join_heavy(rows, shared.withColumn("weight", F.col("n")), ["key"], "weight", total)
+    held = held.join(sized(reps, reps.count()), "doc").join(sized(roots.withColumnRenamed("node", "doc"), roots.count()), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    held = written(held, "block-rows")
+    mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n").withColumn("weight", F.col("n"))
+    held = written(join_heavy(held, mixed, ["key"], "weight", held.count()), "block-rows")
+    few = held.filter(F.col("n") <= CROWD_OF_TEXTS)
+    other = few.select("key", F.col("doc").alias("b"), F.col("root").alias("other"))
+    pairs = few.join(other.hint("merge"), "key").filter("doc > b and root <> other").select(F.col("doc").alias("a"), "b")
+    crowd = held.filter(F.col("n") > CROWD_OF_TEXTS)
+    leaders = crowd.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)).alias("part"), "n").agg(F.min(F.struct(F.xxhash64("doc", "key").alias("o"), "doc", "root")).alias("f"))
+    leaders = written(leaders.select("key", F.col("f.doc").alias("b"), F.col("f.root").alias("other"), F.col("n").alias("weight")), "block-leaders")
+    met = join_heavy(crowd, leaders, ["key"], "weight", crowd.count()).filter("doc <> b and root <> other")
+    return pairs.unionByName(met.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"))).distinct()
+
+
+def similar_groups(docs: DataFrame, *, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """node (doc_id), root (the smallest doc_id of its group) of every document in a group of two or more.
+
+    A group is connected by links between texts whose sets of shingles of `words`
+    words have a Jaccard similarity of `similarity` or more. Texts with equal
+    words are linked, so are all without words (null, empty, white space); a text
+    with fewer words has its whole sequence as its only shingle. Rows of a null
+    doc_id take no part; rows that share a doc_id are one node. No links, or an
+    empty table, give no rows; further columns are not read.
+
+    Each link is verified on whole texts. Texts meet through shared keys: first
+    each meets one other per key, then those that are in different groups still
+    meet all others of the key, or LEADERS of them in a key of a crowd.
+    """
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select("doc", F.xxhash64("text").alias("th"), "text")
+    made = _made(texts, words, similarity)
+    marks = written(made.select("doc", "th", "fp", "n"), "near-marks")
+    rows = made.select(F.explode("keys").alias("key"), "doc")
+    total = made.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    if not total:
+        return marks.select(F.col("doc").alias("node"), F.col("doc").alias("root")).limit(0)
+    pairs, shared = _first_pairs(rows, total)
+    links = written(_verified(texts, marks, pairs, words, similarity), "near-links")
+    reps = written(marks.groupBy("th").agg(F.min("doc").alias("doc")).select("doc").distinct(), "near-texts")
+    further = _further_pairs(rows, total, shared, components(links), reps)
+    further = written(further.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
+    return components(links.unionByName(_verified(texts, marks, further, words, similarity)))
+
+
+def _verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar enough: equal, or of like size and near in Hamming distance and then similar as whole texts.
+
+    A text in many pairs goes to several tasks, each with FANOUT pairs about.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    n, m = pairs.count(), marks.count()
+    a, b = (marks.select(F.col("doc").alias(x), F.col("th").alias(f"t{x}"), F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    weight = pairs.groupBy("b").agg(F.count("*").alias("w"))
+    marked = pairs.join(sized(a, m), "a")
+    marked = marked.join(sized(b, m), "b") if m <= BROADCAST_ROWS else join_heavy(marked, b.join(weight.hint("merge"), "b"), ["b"], "w", n)
+    near = (F.col("ta") == F.col("tb")) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= SET_DISTANCE) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
+    marked = written(marked.filter(near).select("a", "ta", "b", "tb"), "near-marked")
+    equal, open_ = marked.filter("ta = tb").select("a", "b"), marked.filter("ta <> tb")
+    texts = texts.dropDuplicates(["doc", "th"]) if texts.groupBy("doc", "th").count().filter("count > 1").limit(1).count() else texts
+    spread = written(open_.groupBy("b", "tb").agg(F.count("*").alias("w")).withColumn("copies", F.ceil(F.col("w") / FANOUT).cast("int")), "near-spread")
+    dealt = join_heavy(open_, spread, ["b", "tb"], "w", open_.count()).withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
+    many = spread.select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    wanted = written(open_.select(F.col("a").alias("doc")).union(open_.select("b")).distinct(), "near-wanted")
+    texts = texts.join(sized(wanted, wanted.count()), "doc", "left_semi")
+    second = texts.select(F.col("doc").alias("b"), F.col("th").alias("tb"), F.col("text").alias("y")).join(sized(many, many.count()), ["b", "tb"])
+    first = texts.select(F.col("doc").alias("a"), F.col("th").alias("ta"), F.col("text").alias("x")).join(sized(dealt, open_.count()), ["a", "ta"])
+    joined = first.join(second.hint("merge"), ["b", "tb", "copy"]).select("a", "b", "x", "y")
+
+    def run(batches):
+        release()
+        held, kept = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for begin, end in groups(batch.column(2)):
+                part = batch.slice(begin, end - begin)
+                keep = []
+                for k in range(part.num_rows):
+                    y = part.column(3)[k].as_py()
+                    if y != held:  # pairs of one text come one after another
+                        held, kept = y, shingle_set(y, words)
+                    keep.append(jaccard(shingle_set(part.column(2)[k].as_py(), words), kept) >= similarity - 1e-12)
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], schema=schema)
+
+    return equal.unionByName(joined.mapInArrow(run, "a long, b long"))
