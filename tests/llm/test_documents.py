@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quarry.llm import host_paths, line_dedup, pu_quality, quality_ledger, simhash, suffix_dedup
@@ -290,6 +291,42 @@ def test_cut_keeps_whole_characters():
 # classifier -----------------------------------------------------------------------
 
 
+@pytest.fixture(scope="module")
+def fitted(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    return docs, labels, pu_quality.train(docs, labels)
+
+
+def test_bad_labels_are_not_read(fitted):
+    """The fit is the same without the labels that are not good, and the prior is near their share."""
+    docs, labels, model = fitted
+    again = pu_quality.train(docs, labels.withColumn("quality", F.when(F.col("quality") == 1, 1)))
+    assert np.array_equal(again.weights, model.weights) and again.prior == model.prior
+    assert abs(model.prior - labels.filter("quality = 1").count() / labels.count()) < 0.08
+
+
+def test_disorder_and_gibberish_score_low(fitted):
+    docs, labels, model = fitted
+    r = random.Random(4)
+    good = [x["text"] for x in docs.join(labels.filter("quality = 1"), "doc_id").filter(pu_quality.held_out() & (F.length("text") > 300)).select("text").collect()]
+    shuffled = [" ".join(r.sample(t.split(), len(t.split()))) for t in good]
+    gibberish = [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(80)) for _ in good]
+    scores = [model.scores(pu_quality.measures(x, model.grams)) for x in (good, shuffled, gibberish)]
+    assert (scores[0] >= 0.3).mean() >= 0.97 and (scores[1] < 0.3).mean() >= 0.75 and (scores[2] < 0.3).all()
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_class_prior_of_mixtures(share):
+    """Of classes that overlap a little; no label of the mixture is seen."""
+    r = np.random.default_rng(int(share * 100))
+    n = len(pu_quality.MEASURES)
+    positive, good = r.normal(1, 1, (2000, n)), r.normal(1, 1, (int(3000 * share), n))
+    bad = r.normal(1, 1, (3000 - len(good), n))
+    bad[:, :4] -= 3
+    assert abs(pu_quality.class_prior(positive, r.permutation(np.concatenate([good, bad]))) - share) < 0.06
+
+
 def test_classifier_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
