@@ -2,21 +2,23 @@
 
 A byte goes if a string of `length` bytes over it starts earlier somewhere in the
 corpus. Sorting every suffix of a corpus moves many times its size, so suffixes
-are sorted only where repeats can be:
+are sorted only where repeats can be, and every repeat is found by that sort:
 
 1. Each window of `length` bytes picks the smallest hash of its k-grams. Windows
-   that share their pick are one row: hash of the k-gram, hash of their bytes,
-   place. Equal windows pick alike, so repeats meet under one k-gram.
-2. Rows of a k-gram come together, ordered by place. Equal rows after the first
-   are repeats as a whole. A k-gram with different rows needs a closer look at
-   one row of each kind; of all others no text is moved.
-3. The bytes around those k-grams are fetched from their documents. In blocks of
-   bounded size they are sorted as suffixes to the right of the k-gram and to the
-   left, and for each offset the windows that agree on both sides are told from
-   the two sorted orders. Later ones are repeats.
-4. A k-gram with more kinds than a block holds is split into several blocks;
-   their first windows are then compared by an aggregation over 128-bit hashes.
-
+   that share their pick are one row: hash of the k-gram, place. Equal windows
+   pick alike, so repeats meet under one k-gram. Rows of one batch that are the
+   same bytes, compared as bytes, are one row from the start.
+2. Rows of a k-gram come together; a row alone has no repeat. The others are
+   numbered into blocks of bounded size.
+3. The bytes around those k-grams are fetched from their documents. In each block
+   they are sorted as suffixes to the right of the k-gram and to the left, and for
+   each offset the windows that agree on both sides are told from the two sorted
+   orders. Later ones are repeats.
+4. A k-gram with more rows than a block holds has several blocks. The windows that
+   are first in theirs meet by a hash, and those with a partner are sorted again,
+   as suffixes, in groups that each hold the first window of all.
+
+The sort verifies the bytes of all neighbours, so hashes only decide what meets.
 Intervals go back to their documents, where they are merged.
 """
 
@@ -30,20 +32,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._ragged import groups
-from ._shared import release, shuffle_partitions, written
+from ._shared import join_heavy, release, shuffle_partitions, sized, written
 from .suffix_sort import Hashed, sorted_suffixes
 
 LENGTH = 100
 GRAM = 32
-#: Rows of one k-gram in a block; rows of a block.
-KINDS = 8_000
+#: Rows of one k-gram in a block; rows that are sorted together.
+KINDS = 1_000
 BLOCK = 16_000
+#: Bits of a row's length, and of the k-gram's place in it.
+SIZE_BITS = 12
+SIZE = (1 << SIZE_BITS) - 1
 #: Bytes that are hashed together; positions in them take PLACE_BITS.
 CHUNK = 512 << 10
 PLACE_BITS = 23
 NULL_ID = -(1 << 63)
 
 
+def pack_place(start, left, size):
+    """A row's place in one number: first byte, bytes before the k-gram, bytes in all."""
+    return (start << 2 * SIZE_BITS) | (left << SIZE_BITS) | size
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
@@ -124,10 +134,12 @@ def candidate_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 order = np.lexsort((start, k, doc, g, a))
                 same = np.zeros(len(order), bool)
                 p, q = order[:-1], order[1:]
-                equal = (a[p] == a[q]) & (g[p] == g[q])
-                same[q] = equal & ~((doc[p] == doc[q]) & (k[p] != k[q]))
-                # rows of one id and another text are not earlier than each other; leave those to step 2
-                at = (start << 16) | ((place + shift - start) << 8) | (stop - start)
+                # rows of one id and another text are not earlier than each other; leave those to the sort
+                alike = np.flatnonzero((a[p] == a[q]) & (g[p] == g[q]) & ~((doc[p] == doc[q]) & (k[p] != k[q])))
+                p, q = p[alike], q[alike]
+                width = (last + length - first).tolist()
+                same[q] = [raw[x : x + width[i]] == raw[y : y + width[j]] for i, j, x, y in zip(p.tolist(), q.tolist(), first[p].tolist(), first[q].tolist())]
+                at = pack_place(start, place + shift - start, stop - start)
                 keep = ~same
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[keep].view(np.int64), g[keep].view(np.int64), doc[keep], k[keep], at[keep])], schema=schema)
                 gone = np.flatnonzero(same)
@@ -146,120 +158,83 @@ FOUND = "doc long, k long, begin long, stop long, a long, block long, at long"
 
 
 def found_rows(rows: DataFrame, kinds: int) -> DataFrame:
-    """Step 2: intervals (block null) and the rows of each kind that need a closer look, numbered into blocks.
+    """Step 2: intervals (block null), and the rows of each k-gram that has two or more, numbered into blocks.
 
-    One pass over rows in order; between batches only the row before and what is
-    known of its k-gram are kept, whatever the number of rows of one k-gram.
+    One pass over rows in order; between batches only the last row and its number
+    within its k-gram are kept, whatever the number of rows of one k-gram.
     """
-    schema = pa.schema([("doc", pa.int64()), ("k", pa.int64()), ("begin", pa.int64()), ("stop", pa.int64()), ("a", pa.int64()), ("block", pa.int64()), ("at", pa.int64())])
+    names = ("doc", "k", "begin", "stop", "a", "block", "at")
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
-    def out(doc, k, begin, stop, a, block, at):
-        n = len(doc)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([none if x is None else pa.array(x) for x in (doc, k, begin, stop, a, block, at)], schema=schema)
+    def out(n, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns else pa.nulls(n, pa.int64()) for c in names], schema=schema)
 
     def run(batches):
-        before = None  # a, g, first row of this kind (doc), number of kinds, first row of the k-gram if it may still be alone
+        last = None  # a, number within the k-gram, and the row itself
         for batch in batches:
-            a, g, doc, k, at = (batch.column(c).to_numpy() for c in range(5))
+            a, _, doc, k, at = (batch.column(c).to_numpy() for c in range(5))
             ready = at < 0
             if ready.any():
                 code = -1 - at[ready]
-                yield out(doc[ready], k[ready], code >> 32, code & 0xFFFFFFFF, None, None, None)
-                a, g, doc, k, at = (x[~ready] for x in (a, g, doc, k, at))
+                yield out(len(code), doc=doc[ready], k=k[ready], begin=code >> 32, stop=code & 0xFFFFFFFF)
+                a, doc, k, at = (x[~ready] for x in (a, doc, k, at))
             n = len(a)
             if not n:
                 continue
-            new_a = np.concatenate([[before is None or before["a"] != a[0]], a[1:] != a[:-1]])
-            new_g = new_a | np.concatenate([[before is None or before["g"] != g[0]], g[1:] != g[:-1]])
-            # of one kind, rows with the smallest id are first (one, unless an id repeats)
-            kind = np.cumsum(new_g) - 1
-            lead = np.flatnonzero(new_g)
-            smallest = np.where(kind >= 0, doc[lead[np.maximum(kind, 0)]] if len(lead) else 0, 0)
-            first_place = np.where(kind >= 0, at[lead[np.maximum(kind, 0)]] if len(lead) else 0, 0)
-            first_key = np.where(kind >= 0, k[lead[np.maximum(kind, 0)]] if len(lead) else 0, 0)
-            if before is not None:
-                smallest = np.where(kind < 0, before["doc"], smallest)
-                first_place = np.where(kind < 0, before["at"], first_place)
-                first_key = np.where(kind < 0, before["k"], first_key)
-            # later: a larger id, or a later start in the same text
-            later = ~new_g & ((doc > smallest) | ((k == first_key) & (at > first_place)))
-            start, size = at >> 16, at & 0xFF
-            if later.any():
-                yield out(doc[later], k[later], start[later], (start + size)[later], None, None, None)
-            # kinds of each k-gram so far
-            gram = np.cumsum(new_a) - 1
-            heads = np.flatnonzero(new_a)
-            through = np.cumsum(new_g)
-            base = np.where(gram >= 0, through[heads[np.maximum(gram, 0)]] - 1 if len(heads) else 0, -(before["kinds"] if before else 0))
-            ordinal = through - base - 1  # of the row's kind within its k-gram
-            rep = new_g
-            second = rep & (ordinal == 1)
-            pending = []
-            if before is not None and before["alone"] is not None and not new_a[0] and second.any():
-                k0 = np.flatnonzero(second)[0]
-                if gram[k0] < 0:
-                    pending.append(before["alone"])
-            many = np.bincount(gram + 1, weights=rep, minlength=int(gram[-1]) + 2)
-            chosen = rep & ((ordinal >= 1) | (many[gram + 1] + np.where(gram < 0, before["kinds"] if before else 0, 0) > 1))
-            if pending:
-                x = np.array(pending, np.int64)
-                yield out(x[:, 1], x[:, 2], None, None, x[:, 0], np.zeros(len(x), np.int64), x[:, 3])
-            if chosen.any():
-                yield out(doc[chosen], k[chosen], None, None, a[chosen], ordinal[chosen] // kinds, at[chosen])
-            total = int(ordinal[-1]) + 1
-            if total > 1:
-                alone = None
-            elif gram[-1] >= 0:
-                h = heads[-1]
-                alone = (int(a[h]), int(doc[h]), int(k[h]), int(at[h]))
-            else:
-                alone = before["alone"]
-            before = {"a": a[-1], "g": g[-1], "doc": int(smallest[-1]), "at": int(first_place[-1]), "k": int(first_key[-1]), "kinds": total, "alone": alone}
+            follows = last is not None and last[0] == a[0]
+            head = np.concatenate([[not follows], a[1:] != a[:-1]])
+            begin = np.maximum.accumulate(np.where(head, np.arange(n), -1))
+            number = np.where(begin >= 0, np.arange(n) - begin, np.arange(n) + (last[1] + 1 if follows else 0))
+            if follows and not last[1]:  # it waited for a second row
+                yield out(1, doc=[last[2]], k=[last[3]], a=[last[0]], block=[0], at=[last[4]])
+            shared = ~head | np.concatenate([~head[1:], [False]])
+            if shared.any():
+                yield out(int(shared.sum()), doc=doc[shared], k=k[shared], a=a[shared], block=number[shared] // kinds, at=at[shared])
+            # a head at the batch's end waits; any other last row is out
+            last = (int(a[-1]), int(number[-1]), int(doc[-1]), int(k[-1]), int(at[-1]))
 
     return rows.mapInArrow(run, FOUND)
 
 
 def contexts(docs: DataFrame, picked: DataFrame, keys: list[str]) -> DataFrame:
-    """Step 3, first half: the bytes of each chosen row. `docs` come dealt by `keys`."""
+    """Step 3, first half: the bytes of each chosen row. Both sides are sorted, so neither has to fit in memory."""
     schema = pa.schema([("a", pa.int64()), ("block", pa.int64()), ("split", pa.bool_()), ("doc", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
     lists = picked.groupBy(*keys).agg(F.collect_list(F.struct("a", "block", "split", "at")).alias("w"))
-    joined = docs.join(lists.hint("shuffle_hash"), keys).select("doc", "k", "text", "w")
+    joined = docs.join(lists.hint("merge"), keys).select("doc", "k", "text", "w")
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc, k, text, wanted in zip(*(part.column(c).to_pylist() for c in range(4))):
-                    raw = text.encode("utf-8")
-                    for w in wanted:
-                        b = w["at"] >> 16
-                        rows.append((w["a"], w["block"], w["split"], doc, k, w["at"], raw[b : b + (w["at"] & 0xFF)]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for begin, end in groups(batch.column(2), 2 * CHUNK):
+                part = batch.slice(begin, end - begin)
+                wanted = part.column(3)
+                n = np.diff(wanted.offsets.to_numpy())
+                a, block, split, at = (wanted.flatten().field(c) for c in range(4))
+                raws = [t.encode("utf-8") for t in part.column(2).to_pylist()]
+                row = np.repeat(np.arange(len(raws)), n)
+                places = at.to_numpy()
+                first, size = places >> 2 * SIZE_BITS, places & SIZE
+                found = [raws[r][b : b + z] for r, b, z in zip(row.tolist(), first.tolist(), size.tolist())]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([a, block, split, part.column(0).take(take), part.column(1).take(take), at, pa.array(found, pa.binary())], schema=schema)
 
     return joined.mapInArrow(run, "a long, block long, split boolean, doc long, k long, at long, bytes binary")
 
 
 def repeats_in_block(group: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray, contexts_: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row and offset of the k-gram in a window: whether the window exists, and whether it starts earlier elsewhere in its group.
-
-    Rows come ordered by group, then by place.
-    """
+    """Per row and offset of the k-gram in a window: whether the window exists, and whether it starts earlier elsewhere in its group. Rows come ordered by group."""
     n = len(group)
     offsets = length - gram + 1
     size = np.array([len(c) for c in contexts_], np.int64)
     raw = np.frombuffer(b"".join(contexts_), np.uint8)
     begin = np.cumsum(size) - size
-    left = (at >> 8) & 0xFF
+    left = (at >> SIZE_BITS) & SIZE
     right = np.minimum(size - left, length)
     order_r, common_r = sorted_suffixes(raw, begin + left, right, group)
     back = raw[::-1].copy()  # what stands left of the k-gram, read leftwards
     order_l, common_l = sorted_suffixes(back, len(raw) - (begin + left), left, group)
     exists, repeated = np.zeros((n, offsets), bool), np.zeros((n, offsets), bool)
     run_r, run_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    place = (at >> 16) + left
+    place = (at >> 2 * SIZE_BITS) + left
     for d in range(offsets):
         active = (left >= d) & (size - left >= length - d)
         exists[:, d] = active
@@ -269,17 +244,18 @@ def repeats_in_block(group: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np
         run_l[order_l] = np.cumsum(common_l < d)
         rows = np.flatnonzero(active)
         together = run_r[rows] * (n + 1) + run_l[rows]
-        by = np.lexsort((place[rows], doc[rows], together))
+        by = np.lexsort((place[rows], key[rows], doc[rows], together))
         t, i = together[by], rows[by]
         head = np.concatenate([[True], t[1:] != t[:-1]])
         lead = i[np.maximum.accumulate(np.where(head, np.arange(len(i)), 0))]
+        before = np.concatenate([i[:1], i[:-1]])
         # earlier: a smaller id, or an earlier start in the same text
-        repeated[i, d] = ~head & ((doc[i] > doc[lead]) | ((key[i] == key[lead]) & (place[i] > place[lead])))
+        repeated[i, d] = ~head & ((doc[i] > doc[lead]) | ((doc[i] == doc[before]) & (key[i] == key[before]) & (place[i] > place[before])))
     return exists, repeated
 
 
 def block_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Step 3, second half: intervals of repeats, and the first windows of split k-grams (with hashes)."""
+    """Step 3, second half: intervals of repeats, and of k-grams in several blocks the windows that are first in theirs (with hashes)."""
     schema = pa.schema([("doc", pa.int64()), ("k", pa.int64()), ("begin", pa.int64()), ("stop", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def settle(block: list[pa.RecordBatch]):
@@ -295,13 +271,13 @@ def block_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
         step = np.diff(flags, axis=1)
         r, b = np.nonzero(step == 1)
         _, e = np.nonzero(step == -1)
-        origin = (at >> 16) + ((at >> 8) & 0xFF) - (repeated.shape[1] - 1)
+        origin = (at >> 2 * SIZE_BITS) + ((at >> SIZE_BITS) & SIZE) - (repeated.shape[1] - 1)
         none = pa.nulls(len(r), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(k[r]), pa.array(origin[r] + b), pa.array(origin[r] + e - 1 + length), none, none], schema=schema)
         r, d = np.nonzero(exists & ~repeated & split[:, None])
         if len(r):
-            begin = (at[r] >> 16) + ((at[r] >> 8) & 0xFF) - d
-            within = begin - (at[r] >> 16)
+            within = ((at[r] >> SIZE_BITS) & SIZE) - d
+            begin = (at[r] >> 2 * SIZE_BITS) + within
             digest = np.frombuffer(b"".join(hashlib.blake2b(texts[i][w : w + length], digest_size=16).digest() for i, w in zip(r.tolist(), within.tolist())), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(k[r]), pa.array(begin), pa.array(begin + length), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], schema=schema)
 
@@ -311,7 +287,7 @@ def block_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             a, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at = 0
-            # a block ends where a k-gram's part does; a part has at most KINDS rows
+            # what is sorted together ends where a k-gram's block does
             ends = np.flatnonzero(np.concatenate([(a[1:] != a[:-1]) | (part[1:] != part[:-1]), [False]])) + 1
             if held and (held[-1].column(0)[-1].as_py() != a[0] or held[-1].column(1)[-1].as_py() != part[0]):
                 if n >= BLOCK:
@@ -345,8 +321,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def intervals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, kinds: int = KINDS) -> tuple[DataFrame, list[str], DataFrame]:
     """The keyed documents, their keys, and (doc, k, begin, stop) of all repeats, which may overlap."""
-    if not 8 <= gram <= length <= 200:
-        raise ValueError("8 <= gram <= length <= 200")
+    if not 8 <= gram <= length <= 2000:
+        raise ValueError("8 <= gram <= length <= 2000")
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     keyed, keys = _keyed(docs)
@@ -354,21 +330,43 @@ def intervals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, kinds:
     found = written(found_rows(rows, kinds), "suffix-found")
     done = found.filter("block is null").select("doc", "k", "begin", "stop")
     picked = found.filter("block is not null").select("a", "block", "doc", "k", "at")
-    split = picked.filter("block > 0").select("a").distinct()
-    crowded = split.limit(1).count() > 0
-    if crowded:
-        picked = picked.join(split.withColumn("split", F.lit(True)), "a", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    split = written(picked.filter("block > 0").select("a").distinct(), "suffix-split")
+    crowds = split.count()
+    if crowds:
+        picked = picked.join(sized(split.withColumn("split", F.lit(True)), crowds), "a", "left").withColumn("split", F.coalesce("split", F.lit(False)))
     else:
         picked = picked.withColumn("split", F.lit(False))
-    near = contexts(keyed.repartition(n, *keys), picked, keys).repartition(n, "a", "block").sortWithinPartitions("a", "block", "doc", "k", "at")
-    settled = written(block_rows(near, length, gram), "suffix-blocks")
-    if not crowded:
-        return keyed, keys, done.unionByName(settled.select("doc", "k", "begin", "stop"))
-    firsts = settled.filter("h1 is not null")
-    least = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc", "k", "begin")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    earlier = (F.col("doc") > F.col("least.doc")) | ((F.col("doc") == F.col("least.doc")) & (F.col("k") == F.col("least.k")) & (F.col("begin") > F.col("least.begin")))
-    across = firsts.join(least, ["h1", "h2"]).filter(earlier).select("doc", "k", "begin", "stop")
-    return keyed, keys, done.unionByName(settled.filter("h1 is null").select("doc", "k", "begin", "stop")).unionByName(across)
+    settled = written(_sorted_blocks(keyed, picked, keys, length, gram), "suffix-blocks")
+    done = done.unionByName(settled.filter("h1 is null").select("doc", "k", "begin", "stop"))
+    if not crowds:
+        return keyed, keys, done
+    again = _first_windows(settled.filter("h1 is not null").select("h1", "h2", "doc", "k", "begin"), length, kinds)
+    return keyed, keys, done.unionByName(_sorted_blocks(keyed, again, keys, length, gram).select("doc", "k", "begin", "stop"))
+
+
+def _sorted_blocks(keyed: DataFrame, picked: DataFrame, keys: list[str], length: int, gram: int) -> DataFrame:
+    """Step 3 of the rows a, block, split, doc, k, at."""
+    n = shuffle_partitions(keyed.sparkSession)
+    near = contexts(keyed, picked, keys).repartition(n, "a", "block").sortWithinPartitions("a", "block", "doc", "k", "at")
+    return block_rows(near, length, gram)
+
+
+def _first_windows(firsts: DataFrame, length: int, kinds: int) -> DataFrame:
+    """Step 4: windows that are first in their blocks and have a partner in another, as rows to be sorted.
+
+    A hash brings partners together. They are dealt into groups of about `kinds`,
+    each with the first window of all in it, so none grows with their number.
+    """
+    place = F.struct("doc", "k", "begin")
+    least = firsts.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1")
+    least = written(least.withColumn("weight", F.col("n")), "suffix-firsts")
+    met = join_heavy(firsts, least, ["h1", "h2"], "weight", firsts.count())
+    blocks = F.ceil(F.col("n") / kinds)
+    met = met.filter(place != F.col("least")).select("h1", F.pmod(F.xxhash64("doc", "k"), blocks).alias("block"), "doc", "k", "begin")
+    heads = least.select("h1", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "least.*")
+    # the groups' numbers are negative: (a, block) of step 3 has others
+    at = F.shiftleft(F.col("begin"), 2 * SIZE_BITS).bitwiseOR(F.lit(length))
+    return met.unionByName(heads).select(F.col("h1").alias("a"), (-1 - F.col("block")).alias("block"), F.lit(False).alias("split"), "doc", "k", at.alias("at"))
 
 
 def merged(begin: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -385,7 +383,7 @@ def _with_intervals(docs: DataFrame, **options) -> DataFrame:
     """doc, k, text, w: the intervals of each document."""
     keyed, keys, found = intervals(docs, **options)
     lists = found.groupBy(*keys).agg(F.collect_set(F.struct("begin", "stop")).alias("w"))
-    return keyed.join(lists.hint("shuffle_hash"), keys, "left").select("doc", "k", "text", "w")
+    return keyed.join(lists.hint("merge"), keys, "left").select("doc", "k", "text", "w")
 
 
 def _spans(wanted) -> list[tuple[int, int]]:
@@ -404,8 +402,8 @@ def removals(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for first, end in groups(batch.column(1)):
+                part = batch.slice(first, end - first)
                 rows = []
                 for doc, text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     raw, spans, digest, last = text.encode("utf-8"), _spans(wanted), hashlib.sha256(), 0
@@ -437,19 +435,22 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
 def dedup_text(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all columns, without their repeats; n_chars follows the text where it is a column.
 
-    A document of which nothing is left stays with an empty text.
+    A document of which nothing is left stays with an empty text; a null text
+    without repeats stays null. Null ids, repeated rows and empty tables are as in
+    `removals`. Further columns stay as they are, whatever their names.
     """
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for first, end in groups(batch.column(2)):
+                part = batch.slice(first, end - first)
                 texts = [cut(t.encode("utf-8"), _spans(w)) for t, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc", "k", "new"])
 
     changed = _with_intervals(docs, **options).filter("w is not null").mapInArrow(run, "doc long, k long, new string").distinct()
-    key = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    unique = changed.select(F.col("k").alias("_k"), F.col("doc").alias("_doc2"), F.col("new").alias("_new"))
-    same = (F.col("_doc") == F.col("_doc2")) & ((F.col("_k") == 0) | (F.col("_k") == F.xxhash64(F.coalesce("text", F.lit("")))))
-    text = F.coalesce("_new", "text")
-    columns = [(text if c == "text" else F.char_length(text).cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return key.join(unique, same, "left").select(*columns)
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("of"), F.col("text").alias("was"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    )
+    same = (F.col("of") == F.col("doc")) & ((F.col("k") == 0) | (F.col("k") == F.col("key")))
+    text = F.coalesce("new", "was")
+    columns = [(text if c == "text" else F.char_length(text).cast("long") if c == "n_chars" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return whole.join(changed, same, "left").select(*columns)

@@ -264,14 +264,34 @@ def passages(seed, n=40):
     return docs
 
 
-@pytest.mark.parametrize("seed, kinds, chunk", [(1, 8000, 2 << 20), (2, 2, 2 << 20), (3, 8000, 700), (4, 5, 300)])
-def test_removals(spark, monkeypatch, seed, kinds, chunk):
-    """Also where a k-gram's kinds are split over blocks, and texts over chunks."""
+@pytest.mark.parametrize("seed, kinds, chunk, length, gram", [(1, 1000, 2 << 20, 100, 32), (2, 2, 2 << 20, 100, 32), (3, 1000, 700, 150, 16), (4, 5, 300, 60, 8), (5, 3, 4 << 20, 300, 20)])
+def test_removals(spark, monkeypatch, seed, kinds, chunk, length, gram):
+    """Also where a k-gram's rows are split over blocks, and texts over chunks, and with other lengths."""
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 60)
     docs = passages(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert sorted((tuple(r) for r in suffix_dedup.removals(df, kinds=kinds).collect()), key=repr) == brute_removals(docs)
+    got = sorted((tuple(r) for r in suffix_dedup.removals(df, kinds=kinds, length=length, gram=gram).collect()), key=repr)
+    assert got == brute_removals(docs, length) and sum(r[2] for r in got) > 0
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """Texts of one id are not earlier than each other, but each is earlier than its own later part."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, q = word(140), word(120)
+    docs = [(1, p + word(30) + p), (1, word(10) + p + word(40) + p + q), (2, q + p), (None, q), (2, q + p), (3, None), (1, p)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for kinds in (1000, 2):
+        assert sorted((tuple(x) for x in suffix_dedup.removals(df, kinds=kinds).collect()), key=repr) == brute_removals(docs)
+
+
+def test_rows_that_met_by_accident_stay_apart():
+    """Rows of one group whose bytes differ are no repeats; equal ones are, at each place of the k-gram."""
+    texts = [b"x" * 40 + b"same" * 20, b"y" * 40 + b"same" * 20, b"x" * 40 + b"same" * 20, b"other bytes" * 11]
+    at = suffix_dedup.pack_place(np.zeros(4, np.int64), np.full(4, 40), np.array([len(t) for t in texts]))
+    exists, repeated = suffix_dedup.repeats_in_block(np.zeros(4, np.int64), np.arange(4), np.zeros(4, np.int64), at, texts, 100, 32)
+    assert (repeated[2] == exists[2]).all() and exists[2].sum() == 21 and not repeated[[0, 1, 3]].any()
 
 
 def test_removals_of_odd_rows(odd, empty):
