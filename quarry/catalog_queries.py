@@ -200,14 +200,6 @@ def _(g):
     return rs.match_source(a.unionByName(b), g.files)
 
 
-@graph_query("J12_match_generated", "select 'pk/dist/' || name as base, 'pk/src/' || name as path from file where kind = 'test'")
-def _(g):
-    spark = g.edges.sparkSession
-    files = g.files.filter("kind = 'test'").select(F.concat(F.lit("pk/src/"), "name").alias("path"))
-    bases = g.files.filter("kind <> 'asset'").select(F.concat(F.lit("pk/dist/"), "name").alias("base"))
-    return rs.match_generated(bases, files, spark.createDataFrame([("pk",), ("other",)], "root string"))
-
-
 @graph_query("J13_resolve_specifiers", """, spec as (select path as file, './' || name as specifier, path as target, 'internal' as kind from file union all select path, '../missing/' || name, null, 'unresolved' from file where kind = 'test'
  union all select path, '@src/' || substr(path, 5), path, 'internal' from file where kind = 'code' and path not like 'src/brand-11/%' union all select path, '@src/nothing', null, 'unresolved' from file where kind = 'asset'
  union all select path, '/' || path, null, 'unresolved' from file where kind = 'asset' union all select path, '@acme/ui/button', 'pkg:@acme/ui', 'external' from file where kind = 'test' union all select path, 'work', null, 'unresolved' from file where kind = 'test')
@@ -633,19 +625,13 @@ def _(g):
     return cy.self_loops(g.of("IMPORTS").filter("kind = 'internal'"))
 
 
-@graph_query("R8_entry_reachable", """, st(entry, path, want, hops) as (select path, path, '*', 0 from file where entry_point union select st.entry, substr(i.dst, 6), want, hops + 1 from st join internal i on i.src = 'file:' || st.path where hops < 3)
-select 'sym:' || s.path || '#' || s.name as sym, min(entry) as entry, cast(arg_min(hops, (entry, hops)) as int) as hops from st join symbol s on s.path = st.path and s.exported group by 1""", True)
-def _(g):
-    return _entry_reachable(g, 3)
-
-
 def _entry_reachable(g: Graph, max_hops: int | None) -> DataFrame:
     re_ = g.of("IMPORTS").filter("kind = 'internal'").select(tail(F.col("src")).alias("path"), tail(F.col("dst")).alias("target"), F.lit("star").alias("kind"), F.lit(None).cast("string").alias("exported"), F.lit(None).cast("string").alias("declared"))
     declared = g.symbols.filter("exported").select("path", "name", F.col("id").alias("sym"))
     return tr.entry_reachable(re_, declared, g.files.filter("entry_point").select("path"), max_hops)
 
 
-@graph_query("R8_entry_reachable_any_depth", """, st(entry, path, hops) using key (entry, path) as (select path, path, 0 from file where entry_point union select st.entry, substr(i.dst, 6), min(st.hops) + 1 from st join internal i on i.src = 'file:' || st.path where not exists (select 1 from recurring.st r where r.entry = st.entry and r.path = substr(i.dst, 6)) group by 1, 2)
+@graph_query("R8_entry_reachable", """, st(entry, path, hops) using key (entry, path) as (select path, path, 0 from file where entry_point union select st.entry, substr(i.dst, 6), min(st.hops) + 1 from st join internal i on i.src = 'file:' || st.path where not exists (select 1 from recurring.st r where r.entry = st.entry and r.path = substr(i.dst, 6)) group by 1, 2)
 select 'sym:' || s.path || '#' || s.name as sym, min(entry) as entry, cast(arg_min(hops, (entry, hops)) as int) as hops from st join symbol s on s.path = st.path and s.exported group by 1""", True)
 def _(g):
     """The same with every chain followed to its end."""
@@ -677,14 +663,6 @@ def _(g):
     return out.join(g.of("BELONGS_TO").select(F.col("src").alias("id"), F.col("dst").alias("domain")), "id", "left").fillna(0, ["symbols", "importers", "imports"])
 
 
-@graph_query("R13_path_compression", """, pre as (select 'src/' || split_part(path, '/', 2) || '/' as p from file union all select 'src/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) || '/' from file union all select 'src/' from file)
-select p as prefix, count(*) as n, (count(*) - 1) * length(p) - 24 as saving from pre group by p having count(*) >= 3""")
-def _(g):
-    """The first round of path compression: what each folder prefix would save."""
-    p = g.files.select(F.explode(fp.dir_prefixes(F.col("path"))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n")).filter("n >= 3 and length(prefix) >= 4")
-    return p.withColumn("saving", (F.col("n") - 1) * F.length("prefix") - 24)
-
-
 # scalar functions -----------------------------------------------------------
 
 @table_query("F1_F3_ids", "select 'file:' || url as file_id, regexp_extract(rtrim(url, '/'), '[^/]*$') as base, 'edge:' || 'file:' || url || ':IMPORTS:pkg:x' as edge_id, page_id from pages")
@@ -721,19 +699,7 @@ def _(g):
     return g.symbols.select("id", fp.base_symbol_id(again).alias("base"), fp.symbol_path(F.col("id")).alias("of_path"), fp.short_symbol(F.col("id")).alias("short"), ref["path"].alias("ref_path"), ref["name"].alias("ref_name"))
 
 
-@table_query("F12_nearest", "select r_name, (select n_name from nation where levenshtein(lower(n_name), lower(r_name)) <= 30 order by levenshtein(lower(n_name), lower(r_name)), n_name limit 1) as nearest from region")
-def _(spark, d):
-    from .operators.answer import nearest
-
-    return nearest(table(spark, d, "region").select("r_name"), "r_name", table(spark, d, "nation").select("n_name"), "n_name", 30)
-
-
-@table_query("F13_F26_text", """select doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents""")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", fp.slug(F.substring("text", 1, 40)).alias("slug"))
-
-
-@table_query("F13_F26_whole_text", r"""select doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, case when length(flat) > 80 then substr(flat, 1, 79) || '…' else flat end as fragment
+@table_query("F13_F26_text", r"""select doc_id, coalesce(nullif(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'domain') as slug, case when length(flat) > 80 then substr(flat, 1, 79) || '…' else flat end as fragment
 from (select doc_id, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) as flat from documents)""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", fp.slug(F.col("text")).alias("slug"), fp.fragment(F.col("text"), 80).alias("fragment"))
@@ -750,99 +716,151 @@ def _(spark, d):
     return p.select("p_partkey", fp.more_marker(F.col("p_size") % 7).alias("more"), fp.caveat(F.col("p_size") % 3, F.lit(1)).alias("caveat"))
 
 
-@graph_query("F18_dir_prefixes", "select path, unnest(['src/', 'src/' || split_part(path, '/', 2) || '/', 'src/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) || '/']) as prefix from file")
-def _(g):
-    return g.files.select("path", F.explode(fp.dir_prefixes(F.col("path"))).alias("prefix"))
+#: File names of all sorts, {k} being a part's number: what predicates of paths are asked about.
+NAMES = (
+    "index{k}.ts", "src/index.ts", "src/a{k}.ts", "src/a{k}.d.ts", "src/b{k}.d.mts", "src/c{k}.test.ts", "src/d{k}.spec.jsx", "tests/e{k}.py", "tests/e{k}.json", "__tests__/f{k}.css", "Spec/g{k}.ts", "src/Worker.mjs", "src/bootstrap.cjs",
+    "vite.config.ts", "pkg/tool.config.{k}.js", "src/h{k}.module.css", "src/i{k}.min.js", "src/j{k}.js.map", "Dockerfile", "x/dockerfile.{k}", "Makefile", "a/k{k}.tar.gz", "a/l{k}.xz", "a/M{k}.PNG", "a/n{k}.svg", "a/o{k}.MD", "a/p{k}.txt",
+    "a/q{k}.json", "a/package.json", "a/yarn.lock", "a/Cargo.lock", "a/.env", "a/.env.local", "a/.env.{k}.sample", "a/.gitignore", "a/r{k}", "a/s{k}.key", "a/t-key.pem", "a/u{k}.pem", "a/id_rsa", "a/.netrc", "a/v{k}.P8", "a/.DS_Store",
+    "node_modules/w{k}.js", "a/dist/x{k}.d.ts", "a/out/y{k}.js", "vendor/z{k}.go", "a/.venv/b{k}.py", "a/c{k}.egg-info/d.txt", "a/build", "a/__generated__/e{k}.ts", "a/.next/f{k}.tsx", "g{k}.toml", "a/h{k}.yaml", "a/i{k}.ini", "a/j{k}.c", "a/k{k}.", "a/l{k}.unknown",
+)
+UNIVERSE = f"u as (select distinct replace(([{', '.join(repr(n) for n in NAMES)}])[p_partkey % {len(NAMES)} + 1], '{{k}}', cast(p_partkey as varchar)) as path from part), "
+UNIVERSE += "p as (select path, lower(regexp_extract(path, '[^/]*$')) as base, regexp_extract(path, '[^/]*$') as name from u)"
+TYPES = ", ".join(f"('{e}', '{l}')" for e, l in fp.LANGUAGES.items())
+
+
+def _universe(spark: SparkSession, d: str) -> DataFrame:
+    names = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))
+    return table(spark, d, "part").select(F.replace(names, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("path")).distinct()
 
 
-@table_query("F20_F21_content_hash", """select c_custkey, sha256('{"balance":' || cast(cast(round(c_acctbal * 100) as bigint) as varchar) || ',"name":"' || c_name || '"}') as content_hash from customer""")
+@table_query("S2_should_skip", f"""with {UNIVERSE} select path, regexp_matches(path, '(^|/)(\\.git|\\.kg-cache|node_modules|\\.cache|\\.turbo|\\.vite|dist|build|coverage|\\.next|\\.venv|venv|__pycache__|\\.pytest_cache|\\.mypy_cache|[^/]*\\.egg-info)/')
+or name = '.DS_Store' or name in ('id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519', '.npmrc', '.netrc', '_netrc') or regexp_matches(base, '(\\.key|-key\\.pem|\\.private\\.pem|\\.key\\.pem|\\.p12|\\.pfx|\\.jks|\\.keystore|\\.pkcs12|\\.ppk|\\.p8|\\.mobileprovision|\\.provisionprofile)$')
+or (name = '.env' or name like '.env.%') and not regexp_matches(base, '\\.(sample|example)$') as skip from p""")
 def _(spark, d):
-    c = table(spark, d, "customer")
-    return c.select("c_custkey", F.sha2(F.to_json(F.struct(F.round(F.col("c_acctbal") * 100).cast("long").alias("balance"), F.col("c_name").alias("name"))), 256).alias("content_hash"))
+    return _universe(spark, d).select("path", fp.should_skip(F.col("path")).alias("skip"))
 
 
-@table_query("F23_generated_label", "select o_orderkey, 'generated by ' || o_orderpriority || ' via ' || o_orderstatus || ', ' || strftime(o_orderdate, '%Y-%m-%d') as label from orders")
+@table_query("P4_P5_H8_classify", f"""with {UNIVERSE}, types(ext, lang) as (values {TYPES}),
+e as (select *, case when regexp_matches(base, '^.+\\.(d\\.[mc]?ts|tar\\.(gz|bz2|xz))$') then regexp_extract(base, '\\.(d\\.[mc]?ts|tar\\.(gz|bz2|xz))$') else regexp_extract(base, '^.+(\\.[^.]*)$', 1) end as extension from p),
+l as (select e.*, lang, regexp_matches(extension, '^\\.(png|jpe?g|gif|bmp|ico|webp|tiff?|avif|hei[cf]|woff2?|ttf|otf|eot|mp[34]|wav|og[ga]|webm|mov|avi|mkv|flac|m4[av]|aac|wmv|zip|(tar\\.)?(gz|bz2|xz)|tar|tgz|7z|rar|[jw]ar|pdf|wasm|so|dylib|dll|exe|bin|class|o|a|node|dat|dmg|iso)$') as is_binary from e left join types on ext = extension),
+m as (select *, coalesce(lang, case when is_binary then 'Binary' when base = 'dockerfile' or base like 'dockerfile.%' then 'Dockerfile' when base = 'makefile' then 'Makefile' else 'Unknown' end) as language, is_binary or extension = '.svg' as asset,
+  base in ('package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'npm-shrinkwrap.json', 'bun.lockb') as lockfile from l)
+select path, extension, language, case when lockfile then 'lockfile' when asset then 'asset' when regexp_matches(base, '\\.(test|spec)\\.') or regexp_matches(path, '(^|/)(tests|__tests__)/') and lang is not null and language not in ('JSON', 'Markdown', 'CSS', 'HTML', 'YAML', 'SVG', 'XML', 'TOML', 'INI', 'Text') then 'test'
+  when language = 'Markdown' then 'doc' when base in ('vite.config.ts', 'package.json', '.gitignore', 'dockerfile', 'makefile') or extension in ('.yaml', '.yml', '.toml', '.ini', '.cfg', '.conf', '.editorconfig') then 'config' else 'code' end as kind,
+  case when language = 'Markdown' then 'doc' when asset then 'asset' else 'code' end as trust, is_binary, lockfile or contains(base, '.min.') or extension = '.map' as is_generated from m""")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", fp.generated_label(F.col("o_orderpriority"), F.col("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("label"))
+    c = fp.classify(F.col("path"))
+    return _universe(spark, d).select("path", *[c[x].alias(x) for x in ("extension", "language", "kind", "trust")], c["isBinary"].alias("is_binary"), c["isGenerated"].alias("is_generated"))
 
 
-@graph_query("F25_importable", "select path, true as importable, case when kind = 'test' then false else true end as plain from file")
-def _(g):
-    t = F.when(F.col("kind") == "test", F.regexp_replace("path", r"\.ts$", ".test.ts")).otherwise(F.col("path"))
-    return g.files.select("path", fp.is_importable(F.col("path")).alias("importable"), fp.is_importable(t).alias("plain"))
+@table_query("F14_path_predicates", f"""with {UNIVERSE} select path, lower(regexp_replace(name, '\\.[^.]+$', '')) as stem, regexp_matches(base, '^.+\\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$') as linkable,
+regexp_matches(lower(path), '(^|/)(__tests__|__test__|test|tests|spec)/') or regexp_matches(base, '\\.(test|spec)\\.[a-z]+$') as test,
+not contains(path, '/') or regexp_matches(base, '\\.d\\.[cm]?ts$') or contains(base, '.config.') or lower(regexp_replace(name, '\\.[^.]+$', '')) in ('index', 'main', 'bootstrap', 'entry', 'app', 'server', 'cli', 'worker', 'setup') as entry_like from p""")
+def _(spark, d):
+    q = F.col("path")
+    return _universe(spark, d).select("path", fp.stem(q).alias("stem"), fp.is_linkable(q).alias("linkable"), fp.is_test_path(q).alias("test"), fp.is_entry_like(q).alias("entry_like"))
 
 
-@table_query("F27_injects_globals", "select doc_id, contains(text, 'declare global') as injects from documents")
+@table_query("F25_importable", f"""with {UNIVERSE} select path, regexp_matches(path, '\\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$') and not regexp_matches(path, '\\.d\\.[mc]?ts$') and not regexp_matches(path, '(^|/)__tests__/') and not regexp_matches(path, '\\.(test|spec)\\.[a-z]+$')
+and len(list_intersect(string_split(path, '/'), ['dist', 'build', 'out', '.next', 'coverage', 'storybook-static', '__generated__'])) = 0 as importable from p""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", fp.injects_globals(F.lit("a.ts"), F.col("text")).alias("injects"))
+    return _universe(spark, d).select("path", fp.is_importable(F.col("path")).alias("importable"))
 
 
-@graph_query("F8_H11_build_paths", "select path, 'pk/dist/' || name || '|pk/src/' || name || '|pk/' || name as variants, regexp_replace(path, '\\.ts$', '') as bare, path like 'src/brand-11/%' as under from file")
+@table_query("F27_injects_globals", r"""select doc_id, x.path as path, x.path like '%.d.ts' or coalesce(regexp_matches(x.t, '\bdeclare\s+global\b|\bexport\s+as\s+namespace\b'), false) as injects from (select doc_id, case doc_id % 5 when 0 then 'a.d.ts' else 'a.ts' end as path,
+case doc_id % 5 when 1 then text || ' declare  global {' when 2 then 'export as namespace N; ' || text when 3 then text || ' declare module "m" {}' else text end as t from documents) x""")
+def _(spark, d):
+    k, t = F.col("doc_id") % 5, F.col("text")
+    text = F.when(k == 1, F.concat(t, F.lit(" declare  global {"))).when(k == 2, F.concat(F.lit("export as namespace N; "), t)).when(k == 3, F.concat(t, F.lit(' declare module "m" {}'))).otherwise(t)
+    docs = table(spark, d, "documents").select("doc_id", F.when(k == 0, "a.d.ts").otherwise("a.ts").alias("path"), text.alias("text"))
+    return docs.select("doc_id", "path", fp.injects_globals(F.col("path"), F.col("text")).alias("injects"))
+
+
+@table_query("F12_nearest", """with k as (select n_name as key from nation union select substr(n_name, 1, greatest(length(n_name) - 2, 2)) from nation union select lower(reverse(n_name)) from nation union select r_name from region)
+select key, (select n_name from nation where levenshtein(lower(n_name), lower(key)) <= 3 order by levenshtein(lower(n_name), lower(key)), n_name limit 1) as nearest from k""")
+def _(spark, d):
+    from .operators.answer import nearest
+
+    n = table(spark, d, "nation").select("n_name")
+    keys = n.select(F.col("n_name").alias("key")).union(n.select(F.expr("substring(n_name, 1, greatest(length(n_name) - 2, 2))"))).union(n.select(F.lower(F.reverse("n_name")))).union(table(spark, d, "region").select("r_name")).distinct()
+    return nearest(keys, "key", n, "n_name")
+
+
+BUILT = ("pk/dist/{n}.d.ts", "pk/dist/sub/{n}.js", "pk/lib/esm/{n}.mjs", "pk/src/{n}.ts", "build/pk/{n}.js", "pk/dist", "pk/out/{n}.CSS", "pk/es/{n}.d.CTS")
+
+
+@graph_query("F8_H11_build_paths", f""", b as (select path, replace(([{', '.join(repr(n) for n in BUILT)}])[length(path) % {len(BUILT)} + 1], '{{n}}', name) as target from file),
+x as (select path, target, regexp_extract(target, '^(.*?/)?(dist|build|out|lib|es|esm|cjs)/(.*)$', 1) as before, regexp_extract(target, '^(.*?/)?(dist|build|out|lib|es|esm|cjs)/(.*)$', 3) as after from b),
+y as (select *, regexp_replace(after, '\\.(d\\.(ts|mts|cts)|ts|tsx|mts|cts|js|jsx|mjs|cjs)$', '', 'i') as stem from x)
+select path, target, case when after = '' then target else target || '|' || before || 'src/' || stem || '|' || before || stem end as variants, regexp_replace(target, '\\.(d\\.(ts|mts|cts)|ts|tsx|mts|cts|js|jsx|mjs|cjs)$', '', 'i') as bare, target like 'pk/%' as under from y""")
 def _(g):
-    v = fp.source_variants(F.concat(F.lit("pk/dist/"), "name"))
-    return g.files.select("path", F.array_join(v, "|").alias("variants"), fp.without_build_extension(F.col("path")).alias("bare"), fp.under_dir(F.col("path"), F.lit("src/brand-11")).alias("under"))
+    t = F.replace(F.element_at(F.array(*map(F.lit, BUILT)), (F.length("path") % len(BUILT) + 1).cast("int")), F.lit("{n}"), F.col("name"))
+    rows = g.files.select("path", t.alias("target"))
+    return rows.select("path", "target", F.array_join(fp.source_variants(F.col("target")), "|").alias("variants"), fp.without_build_extension(F.col("target")).alias("bare"), fp.under_dir(F.col("target"), F.lit("pk")).alias("under"))
 
 
-@graph_query("H1_kind_of_id", "select id, label from node")
+@graph_query("J12_match_generated", """select 'pk/dist/' || replace(name, '.ts', '.d.ts') as base, 'pk/src/' || name as path from file where kind = 'test' union all select 'dist/lib/' || replace(name, '.ts', '.js'), 'dist/src/' || replace(name, '.ts', '.tsx') from file where kind = 'asset'""")
 def _(g):
-    return g.nodes().select("id", kind_of_id(F.col("id")).alias("label"))
+    """Declarations and scripts of built packages; the second package lies in a folder that is named like a build folder."""
+    spark = g.edges.sparkSession
+    tests, assets = g.files.filter("kind = 'test'"), g.files.filter("kind = 'asset'")
+    files = tests.select(F.concat(F.lit("pk/src/"), "name").alias("path")).union(assets.select(F.concat(F.lit("dist/src/"), F.regexp_replace("name", r"\.ts$", ".tsx"))))
+    bases = g.files.filter("kind <> 'asset'").select(F.concat(F.lit("pk/dist/"), F.regexp_replace("name", r"\.ts$", ".d.ts")).alias("base")).union(assets.select(F.concat(F.lit("dist/lib/"), F.regexp_replace("name", r"\.ts$", ".js"))))
+    return rs.match_generated(bases, files, spark.createDataFrame([("pk",), ("dist",)], "root string"))
 
 
-@graph_query("H4_S4_file_hash", "select id, sha256(path) as sha256 from file")
+@graph_query("R13_path_compression")
 def _(g):
-    return g.files.select("id", F.coalesce("sha256", F.sha2("path", 256)).alias("sha256"))
+    """The paths of each domain's files, compressed round by round until no folder saves anything: prefix, rest."""
+    from .operators.answer import compressed_rows
 
+    return compressed_rows(g.of("BELONGS_TO").select(F.col("dst").alias("key"), tail(F.col("src")).alias("path")))
 
-@table_query("S4_hash_texts", "select doc_id, sha256(text) as sha256 from documents")
+
+@table_query("F20_F21_content_hash", """select c_custkey, sha256('{"facts":{"balance":' || cast(cast(round(c_acctbal * 100) as bigint) as varchar) || ',"segment":"' || c_mktsegment || '"},"id":"' || c_name || '","kind":"customer"}') as content_hash from customer""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    c = table(spark, d, "customer")
+    facts = F.struct(F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal") * 100).cast("long").alias("balance"))
+    return c.select("c_custkey", inc.content_hash(F.struct(F.lit("customer").alias("kind"), F.col("c_name").alias("id"), facts.alias("facts")), c.select(F.struct(F.lit("customer").alias("kind"), F.col("c_name").alias("id"), facts.alias("facts")).alias("x")).schema["x"].dataType).alias("content_hash"))
 
 
-@table_query("S2_should_skip", """select path, regexp_matches(path, '(^|/)(node_modules|dist|coverage)(/|$)') or regexp_matches(path, '\\.(pem|key)$') or regexp_matches(path, '(^|/)\\.env(\\.local)?$') as skip
-from (select case p_size % 6 when 0 then 'a/node_modules/p' || p_partkey || '.js' when 1 then 'a/p' || p_partkey || '.pem' when 2 then 'a/.env.local' when 3 then 'a/.env.sample' when 4 then 'a/dist/p' || p_partkey || '.js' else 'a/p' || p_partkey || '.ts' end as path from part)""")
-def _(spark, d):
-    k, n = F.col("p_size") % 6, F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
-    path = F.when(k == 0, F.concat(F.lit("a/node_modules/"), n, F.lit(".js"))).when(k == 1, F.concat(F.lit("a/"), n, F.lit(".pem"))).when(k == 2, "a/.env.local").when(k == 3, "a/.env.sample").when(k == 4, F.concat(F.lit("a/dist/"), n, F.lit(".js"))).otherwise(F.concat(F.lit("a/"), n, F.lit(".ts")))
-    p = table(spark, d, "part").select(path.alias("path"))
-    return p.select("path", fp.should_skip(F.col("path")).alias("skip"))
+@graph_query("F18_dir_prefixes", "select path, unnest(['src/', 'src/' || split_part(path, '/', 2) || '/', 'src/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) || '/']) as prefix from file")
+def _(g):
+    return g.files.select("path", F.explode(fp.dir_prefixes(F.col("path"))).alias("prefix"))
 
 
-@table_query("P4_P5_H8_classify", """select path, case k when 0 then 'test.ts' when 1 then 'module.css' when 2 then 'json' when 3 then 'md' when 4 then 'png' else 'ts' end as extension, case k when 0 then 'TypeScript' when 1 then 'CSS' when 2 then 'JSON' when 3 then 'Markdown' when 4 then 'Binary' else 'TypeScript' end as language,
-case k when 0 then 'test' when 1 then 'asset' when 2 then 'lockfile' when 3 then 'doc' when 4 then 'asset' else 'code' end as kind
-from (select p_size % 6 as k, case p_size % 6 when 0 then 'a/p' || p_partkey || '.test.ts' when 1 then 'a/p' || p_partkey || '.module.css' when 2 then 'a' || p_partkey || '/package-lock.json' when 3 then 'a/P' || p_partkey || '.md' when 4 then 'a/p' || p_partkey || '.PNG' else 'a/p' || p_partkey || '.ts' end as path from part)""")
+@table_query("F23_generated_label", "select o_orderkey, 'generated by ' || o_orderpriority || ' via ' || o_orderstatus || ', ' || strftime(o_orderdate, '%Y-%m-%d') as label from orders")
 def _(spark, d):
-    k, n = F.col("p_size") % 6, F.col("p_partkey").cast("string")
-    c = lambda *x: F.concat(*[y if not isinstance(y, str) else F.lit(y) for y in x])
-    path = F.when(k == 0, c("a/p", n, ".test.ts")).when(k == 1, c("a/p", n, ".module.css")).when(k == 2, c("a", n, "/package-lock.json")).when(k == 3, c("a/P", n, ".md")).when(k == 4, c("a/p", n, ".PNG")).otherwise(c("a/p", n, ".ts"))
-    p = table(spark, d, "part").select(path.alias("path"))
-    q = F.col("path")
-    return p.select("path", fp.extension(fp.base_name(q)).alias("extension"), fp.language(q).alias("language"), fp.kind(q).alias("kind"))
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", fp.generated_label(F.col("o_orderpriority"), F.col("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("label"))
 
 
-@table_query("P6_specifiers", """select page_id, m as specifier from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as m from pages)""")
-def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("specifier"))
+@graph_query("H1_kind_of_id", "select id, label from node")
+def _(g):
+    return g.nodes().select("id", kind_of_id(F.col("id")).alias("label"))
 
 
-@table_query("P15_slice_lines", "select doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) as part from documents where len(string_split(text, chr(10))) >= 2")
+@graph_query("H4_S4_file_hash", "select id, sha256(path) as sha256 from file")
+def _(g):
+    return g.files.select("id", F.coalesce("sha256", F.sha2("path", 256)).alias("sha256"))
+
+
+@table_query("S4_hash_texts", "select doc_id, sha256(text) as sha256 from documents")
 def _(spark, d):
-    lines = F.split("text", "\n", -1)
-    return table(spark, d, "documents").filter(F.size(lines) >= 2).select("doc_id", F.array_join(F.slice(lines, 2, 3), "\n").alias("part"))
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@table_query("P16_first_doc_line", """select doc_id, case when length(l) > 60 then substr(l, 1, 59) || '…' else l end as line from (select doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')) as l from documents where regexp_matches(text, '^[A-Za-z]'))""")
+@table_query("P6_specifiers", """select page_id, m as specifier from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as m from pages)""")
 def _(spark, d):
-    t = table(spark, d, "documents").filter(F.col("text").rlike("^[A-Za-z]"))
-    return t.select("doc_id", fp.first_doc_line(F.concat(F.lit("/**\n * "), "text"), 60).alias("line"))
+    return table(spark, d, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("specifier"))
 
 
-@table_query("P15_slice_lines_any", "select doc_id, case when text is not null then coalesce(array_to_string(string_split(text, chr(10))[2:4], chr(10)), '') end as part from documents")
+@table_query("P15_slice_lines", "select doc_id, case when text is not null then coalesce(array_to_string(string_split(text, chr(10))[2:4], chr(10)), '') end as part from documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", fp.slice_lines(F.col("text"), 2, 4).alias("part"))
 
 
-@table_query("P16_first_doc_line_any", r"""select doc_id, case when length(l) > 60 then substr(l, 1, 59) || '…' else l end as line from (select doc_id, trim(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)),
+@table_query("P16_first_doc_line", r"""select doc_id, case when length(l) > 60 then substr(l, 1, 59) || '…' else l end as line from (select doc_id, trim(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)),
 lambda s: trim(regexp_replace(regexp_replace(s, '^[ \t\n\x0B\f\r]*(/\*+|\*+/|\*+|//+)?', ''), '\*+/[ \t\n\x0B\f\r]*$', ''))), lambda s: s <> '')[1], ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) as l from documents)""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", fp.first_doc_line(F.col("text"), 60).alias("line"))

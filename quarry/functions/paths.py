@@ -7,20 +7,36 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# What file names say.
 LANGUAGES = {
-    "ts": "TypeScript", "tsx": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "json": "JSON", "md": "Markdown", "mdx": "Markdown", "css": "CSS", "scss": "SCSS",
-    "less": "Less", "html": "HTML", "yml": "YAML", "yaml": "YAML", "toml": "TOML", "py": "Python", "rb": "Ruby", "go": "Go", "rs": "Rust", "java": "Java", "kt": "Kotlin", "swift": "Swift", "c": "C", "h": "C", "cpp": "C++", "sh": "Shell", "sql": "SQL", "graphql": "GraphQL", "xml": "XML", "svg": "SVG", "txt": "Text",
+    ".ts": "TypeScript", ".tsx": "TypeScript", ".mts": "TypeScript", ".cts": "TypeScript", ".d.ts": "TypeScript", ".d.mts": "TypeScript", ".d.cts": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript",
+    ".py": "Python", ".pyi": "Python", ".json": "JSON", ".jsonc": "JSON", ".json5": "JSON", ".md": "Markdown", ".markdown": "Markdown", ".mdx": "Markdown", ".css": "CSS", ".scss": "CSS", ".sass": "CSS", ".less": "CSS", ".html": "HTML", ".htm": "HTML",
+    ".yaml": "YAML", ".yml": "YAML", ".svg": "SVG", ".xml": "XML", ".toml": "TOML", ".ini": "INI", ".cfg": "INI", ".conf": "INI", ".txt": "Text", ".sh": "Shell", ".bash": "Shell", ".zsh": "Shell", ".fish": "Shell", ".ps1": "PowerShell",
+    ".go": "Go", ".rs": "Rust", ".java": "Java", ".kt": "Kotlin", ".kts": "Kotlin", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift", ".scala": "Scala", ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++", ".cxx": "C++", ".hpp": "C++", ".hh": "C++", ".hxx": "C++",
+    ".m": "Objective-C", ".mm": "Objective-C++", ".sql": "SQL", ".graphql": "GraphQL", ".gql": "GraphQL", ".proto": "Protobuf", ".vue": "Vue", ".svelte": "Svelte", ".astro": "Astro",
 }
-LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "npm-shrinkwrap.json", "bun.lockb", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "go.sum")
-ASSETS = ("png", "jpg", "jpeg", "gif", "webp", "ico", "svg", "bmp", "woff", "woff2", "ttf", "otf", "eot", "mp3", "mp4", "webm", "mov", "pdf", "zip", "gz", "css", "scss", "less")
-BINARY = ("png", "jpg", "jpeg", "gif", "webp", "ico", "bmp", "woff", "woff2", "ttf", "otf", "eot", "mp3", "mp4", "webm", "mov", "pdf", "zip", "gz", "wasm", "exe", "dll", "so")
-DOCS = ("md", "mdx", "rst", "adoc", "txt")
-CONFIGS = ("json", "yml", "yaml", "toml", "ini", "env", "properties", "xml")
-COMPOUND = ("d.ts", "d.mts", "d.cts", "test.ts", "test.tsx", "test.js", "test.mjs", "spec.ts", "spec.js", "module.css", "module.scss", "min.js", "min.css", "tar.gz")
-SKIPPED_DIRS = ("node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".cache", ".turbo", "vendor", "__pycache__")
-SECRET_NAMES = ("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", ".npmrc", ".netrc", ".pypirc", "credentials")
-SECRET_SUFFIXES = (".pem", ".key", ".p12", ".pfx", ".keystore", ".jks")
+NO_CODE = frozenset("JSON Markdown CSS HTML YAML SVG XML TOML INI Text".split())
+IMAGES = ".png .jpg .jpeg .gif .bmp .ico .webp .tif .tiff .avif .heic .heif".split()
+FONTS = ".woff .woff2 .ttf .otf .eot".split()
+MEDIA = ".mp3 .mp4 .wav .ogg .oga .webm .mov .avi .mkv .flac .m4a .aac .m4v .wmv".split()
+ARCHIVES = ".zip .tar .gz .tgz .tar.gz .bz2 .tar.bz2 .xz .tar.xz .7z .rar .jar .war".split()
+OTHER_BINARY = ".pdf .wasm .so .dylib .dll .exe .bin .class .o .a .node .dat .dmg .iso".split()
+BINARY = (*IMAGES, *FONTS, *MEDIA, *ARCHIVES, *OTHER_BINARY)
+LOCKFILES = "package-lock.json yarn.lock pnpm-lock.yaml npm-shrinkwrap.json bun.lockb".split()
+CONFIG_NAMES = (
+    "package.json tsconfig.json jsconfig.json tsconfig.base.json tsconfig.build.json .eslintrc .eslintrc.js .eslintrc.cjs .eslintrc.json .eslintrc.yaml .eslintrc.yml eslint.config.js eslint.config.mjs eslint.config.cjs "
+    ".prettierrc .prettierrc.json .prettierrc.js .prettierrc.cjs .prettierrc.yaml .prettierrc.yml prettier.config.js prettier.config.cjs babel.config.js babel.config.json .babelrc .babelrc.js .babelrc.json "
+    "vite.config.js vite.config.ts vite.config.mjs vitest.config.js vitest.config.ts vitest.config.mjs webpack.config.js rollup.config.js rollup.config.mjs jest.config.js jest.config.ts jest.config.cjs "
+    ".editorconfig .nvmrc .node-version .gitignore .gitattributes .dockerignore .npmignore .kgignore dockerfile docker-compose.yml docker-compose.yaml makefile quarry.config.json"
+).split()
+CONFIG_EXTENSIONS = ".yaml .yml .toml .ini .cfg .conf .editorconfig".split()
+COMPOUND = ".d.ts .d.mts .d.cts .tar.gz .tar.bz2 .tar.xz".split()
+SKIPPED_DIRS = ".git .kg-cache node_modules .cache .turbo .vite dist build coverage .next .venv venv __pycache__ .pytest_cache .mypy_cache".split()
+SECRET_NAMES = "id_rsa id_dsa id_ecdsa id_ed25519 .npmrc .netrc _netrc".split()
+SECRET_SUFFIXES = ".key .key.pem -key.pem .private.pem .p12 .pfx .jks .keystore .pkcs12 .ppk .p8 .mobileprovision .provisionprofile".split()
+ENTRY_STEMS = "index main bootstrap entry app server cli worker setup".split()
+BUILD_DIRS = "dist build out lib es esm cjs".split()
+GENERATED_DIRS = "dist build out .next coverage storybook-static __generated__".split()
 
 
 def norm_posix(p: Column) -> Column:
@@ -38,50 +54,74 @@ def dir_name(p: Column) -> Column:
 
 
 def extension(name: Column) -> Column:
-    """Lower case, compound ones first; none of a name that only begins with a dot."""
+    """The last suffix with its dot, in lower case, compound ones as one; empty for a name without a dot or that only begins with one."""
     low = F.lower(name)
-    compound = F.regexp_extract(low, r"^.+\.(" + "|".join(c.replace(".", r"\.") for c in COMPOUND) + ")$", 1)
-    plain = F.regexp_extract(low, r"^.+\.([^.]+)$", 1)
-    return F.when(compound != "", compound).otherwise(plain)
+    compound = F.regexp_extract(low, "^.+(" + "|".join(c.replace(".", r"\.") for c in COMPOUND) + ")$", 1)
+    return F.when(compound != "", compound).otherwise(F.regexp_extract(low, r"^.+(\.[^.]*)$", 1))
+
+
+def classify(path: Column) -> Column:
+    """A struct of extension, language, kind (lockfile, asset, test, doc, config, else code, in this order), trust, isBinary, isGenerated."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda s: s != "")
+    base = F.lower(F.coalesce(F.try_element_at(parts, F.lit(-1)), path))
+    ext = extension(base)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(LANGUAGES.items())]), ext)
+    binary = ext.isin(*BINARY)
+    language_ = F.coalesce(known, F.when(binary, "Binary").when((base == "dockerfile") | base.startswith("dockerfile."), "Dockerfile").when(base == "makefile", "Makefile").otherwise("Unknown"))
+    asset = binary | (ext == ".svg")
+    coded = known.isNotNull() & ~language_.isin(*NO_CODE)
+    under = F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: s.isin("tests", "__tests__"))
+    doc = language_ == "Markdown"
+    lock = base.isin(*LOCKFILES)
+    kind_ = (
+        F.when(lock, "lockfile").when(asset, "asset").when(base.rlike(r"\.(test|spec)\.") | (under & coded), "test").when(doc, "doc")
+        .when(base.isin(*CONFIG_NAMES) | ext.isin(*CONFIG_EXTENSIONS), "config").otherwise("code")
+    )
+    return F.struct(
+        ext.alias("extension"), language_.alias("language"), kind_.alias("kind"), F.when(doc, "doc").when(asset, "asset").otherwise("code").alias("trust"), binary.alias("isBinary"), (lock | base.contains(".min.") | (ext == ".map")).alias("isGenerated")
+    )
 
 
 def language(path: Column) -> Column:
-    name = base_name(path)
-    last = F.regexp_extract(F.lower(name), r"^.+\.([^.]+)$", 1)
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(LANGUAGES.items())])
-    return F.coalesce(F.try_element_at(table, last), F.when(last.isin(*BINARY), "Binary").when(name == "Dockerfile", "Dockerfile").when(name == "Makefile", "Makefile").otherwise("Unknown"))
+    return classify(path)["language"]
 
 
-def is_test_path(path: Column) -> Column:
-    return path.rlike(r"(^|/)(__tests__|tests?|e2e)/") | path.rlike(r"\.(test|spec)\.[a-z]+$")
+def kind(path: Column) -> Column:
+    return classify(path)["kind"]
 
 
-def kind(path: Column) -> Column:
-    """lockfile, asset, test, doc, config, code, in this order of precedence; else other."""
-    name, last = base_name(path), F.regexp_extract(F.lower(path), r"\.([^./]+)$", 1)
-    return (
-        F.when(name.isin(*LOCKFILES), "lockfile").when(last.isin(*ASSETS), "asset").when(is_test_path(path), "test").when(last.isin(*DOCS), "doc").when(last.isin(*CONFIGS) | name.rlike(r"\.config\.[mc]?[jt]s$"), "config")
-        .when(F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(LANGUAGES.items())]), last).isNotNull(), "code").otherwise("other")
-    )
+def stem(path: Column) -> Column:
+    return F.lower(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]+$", ""))
+
+
+def is_test_path(path: Column) -> Column:
+    return path.rlike(r"(?i)(^|/)(__tests__|__test__|tests?|spec)/") | path.rlike(r"(?i)\.(test|spec)\.[a-z]+$")
 
 
 def is_linkable(path: Column) -> Column:
-    return path.rlike(r"\.[mc]?[jt]sx?$") & ~path.endswith(".d.ts")
+    """Whether imports can lead there, by the last suffix."""
+    return F.substring_index(path, "/", -1).rlike(r"(?i)^.+\.([mc]?[jt]s|[jt]sx)$")
 
 
 def is_entry_like(path: Column) -> Column:
-    return base_name(path).rlike(r"^(index|main|app|server|cli|setup|vite\.config|jest\.config|vitest\.config)\.")
+    """Scripts at the top, ambient declarations, tool settings, and names of entry points: nothing need import them."""
+    name = F.substring_index(path, "/", -1)
+    return (F.instr(path, "/") == 0) | name.rlike(r"(?i)\.d\.[cm]?ts$") | name.rlike(r"(?i)\.config\.") | stem(path).isin(*ENTRY_STEMS)
+
 
+def should_skip(path: Column, is_dir: Column | None = None) -> Column:
+    """The rules before ignore files, of a path and of all folders above it: skipped folders, system files, credentials, dotenv files but samples."""
+    parts = F.split(path, "/")
+    above = F.slice(parts, F.lit(1), F.size(parts) - 1)
+
+    def named(s: Column) -> Column:
+        low = F.lower(s)
+        dotenv = ((s == ".env") | s.startswith(".env.")) & ~(low.endswith(".sample") | low.endswith(".example"))
+        return (s == ".DS_Store") | s.isin(*SECRET_NAMES) | low.rlike("(" + "|".join(x.replace(".", r"\.") for x in SECRET_SUFFIXES) + ")$") | dotenv
 
-def should_skip(path: Column) -> Column:
-    """The rules before ignore files: hard-skipped folders, system files, credentials, dotenv files but samples."""
-    name = base_name(path)
-    folder = F.exists(F.split(path, "/"), lambda s: s.isin(*SKIPPED_DIRS))
-    secret = F.lower(name).isin(*SECRET_NAMES)
-    for s in SECRET_SUFFIXES:
-        secret = secret | F.lower(name).endswith(s)
-    dotenv = name.rlike(r"^\.env(\.|$)") & ~name.rlike(r"\.(sample|example)$")
-    return folder | (name == ".DS_Store") | secret | dotenv
+    folder = lambda s: s.isin(*SKIPPED_DIRS) | s.endswith(".egg-info")
+    last = F.element_at(parts, -1)
+    return F.exists(above, folder) | F.exists(parts, named) | (F.coalesce(is_dir, F.lit(False)) & folder(last) if is_dir is not None else F.lit(False))
 
 
 def kebab(s: Column) -> Column:
@@ -139,7 +179,9 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def slug(s: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9_]+", "-"), "^-+|-+$", "")
+    """A name that file systems take: letters, digits, _, . and -; nothing left is `domain`."""
+    cut = F.regexp_replace(F.regexp_replace(s, r"[^A-Za-z0-9_.-]+", "-"), "^-+|-+$", "")
+    return F.when(cut == "", "domain").otherwise(cut)
 
 
 def human_bytes(n: Column) -> Column:
@@ -180,11 +222,14 @@ def revision_of(snapshot: Column) -> Column:
 
 
 def is_importable(path: Column) -> Column:
-    return is_linkable(path) & ~is_test_path(path) & ~F.exists(F.split(path, "/"), lambda s: s.isin("dist", "build", "out", "coverage", "node_modules"))
+    """Whether an import can be of this file: a source, not generated, no declaration file, no test."""
+    made = F.exists(F.split(path, "/"), lambda s: s.isin(*GENERATED_DIRS))
+    return ~made & ~path.rlike(r"\.d\.(ts|mts|cts)$") & ~path.rlike(r"(^|/)__tests__/") & ~path.rlike(r"\.(test|spec)\.[a-z]+$") & path.rlike(r"\.([mc]?[jt]s|[jt]sx)$")
 
 
 def injects_globals(path: Column, text: Column) -> Column:
-    return path.endswith(".d.ts") | text.rlike(r"declare\s+global|declare\s+module\s+['\"]")
+    """Whether a file can change what files that do not import it mean. A null text is a deleted file, told by its path alone."""
+    return path.endswith(".d.ts") | F.coalesce(text.rlike(r"\bdeclare\s+global\b|\bexport\s+as\s+namespace\b"), F.lit(False))
 
 
 def generated_label(model: Column, provider: Column, generated_at: Column) -> Column:
@@ -198,16 +243,22 @@ def caveat(n: Column, files: Column) -> Column:
 
 
 def without_build_extension(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"^\./", ""), r"\.d\.[mc]?ts$|\.[mc]?[jt]sx?$", "")
+    return F.regexp_replace(F.regexp_replace(path, r"^\./", ""), r"(?i)\.(?:d\.(?:ts|mts|cts)|ts|tsx|mts|cts|js|jsx|mjs|cjs)$", "")
 
 
 def under_dir(path: Column, folder: Column) -> Column:
     return (folder == ".") | (path == folder) | path.startswith(F.concat(folder, F.lit("/")))
 
 
-def source_variants(target: Column) -> Column:
-    """A built file's path and where its source may be: the build folder replaced by src, or left out."""
+def source_variants(target: Column, package_dir: Column | None = None) -> Column:
+    """A built file's path and where its source may be: the build folder replaced by src, or left out, both without the built extension.
+
+    Folders of the package's own path are no build folders.
+    """
     parts = F.split(target, "/")
-    built = F.array_position(F.transform(parts, lambda s: s.isin("dist", "build", "out", "lib", "es", "esm", "cjs")), True).cast("int")
+    skipped = F.when(package_dir == ".", 0).otherwise(F.size(F.filter(F.split(package_dir, "/"), lambda s: s != ""))) if package_dir is not None else F.lit(0)
+    built = F.array_position(F.transform(parts, lambda s, k: (k >= skipped) & s.isin(*BUILD_DIRS)), True).cast("int")
     before, after = F.slice(parts, F.lit(1), F.greatest(built - 1, F.lit(0))), F.slice(parts, built + 1, F.size(parts))
-    return F.when(built == 0, F.array(target)).otherwise(F.array_distinct(F.array(target, F.array_join(F.concat(before, F.array(F.lit("src")), after), "/"), F.array_join(F.concat(before, after), "/"))))
+    inner = F.concat(F.slice(after, F.lit(1), F.greatest(F.size(after) - 1, F.lit(0))), F.array(F.regexp_replace(F.element_at(parts, -1), r"(?i)\.(?:d\.(?:ts|mts|cts)|ts|tsx|mts|cts|js|jsx|mjs|cjs)$", "")))
+    made = F.array_distinct(F.array(target, F.array_join(F.concat(before, F.array(F.lit("src")), inner), "/"), F.array_join(F.concat(before, inner), "/")))
+    return F.when((built == 0) | (built == F.size(parts)), F.array(target)).otherwise(made)

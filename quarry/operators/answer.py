@@ -39,6 +39,22 @@ def compress_paths(paths: list[str]) -> tuple[list[tuple[str, list[str]]], list[
         left = [p for p in left if not p.startswith(prefix)]
 
 
+def compressed_rows(paths: DataFrame) -> DataFrame:
+    """key, prefix, rest of each (key, path): `compress_paths` of every key's distinct paths; the prefix is empty where a path stays.
+
+    An answer's paths are one key; each is compressed on its own, and in memory,
+    as an answer is.
+    """
+    import pandas as pd
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        groups, left = compress_paths(sorted(group["path"]))
+        rows = [(group["key"].iloc[0], d, p) for d, ps in groups for p in ps] + [(group["key"].iloc[0], "", p) for p in left]
+        return pd.DataFrame(rows, columns=["key", "prefix", "rest"])
+
+    return paths.select("key", "path").distinct().groupBy("key").applyInPandas(one, "key string, prefix string, rest string")
+
+
 def expand_groups(groups: list[tuple[str, list[str]]], rest: list[str]) -> list[str]:
     return sorted([d + p for d, ps in groups for p in ps] + rest)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from quarry.functions.paths import revision_of
 
@@ -87,3 +88,17 @@ def merge_layers(layers: list[DataFrame]) -> DataFrame:
     for k, x in enumerate(layers[1:], 1):
         out = out.unionByName(x.withColumn("layer", F.lit(k)), allowMissingColumns=True)
     return out
+
+
+def sorted_struct(value: Column, kind: DataType) -> Column:
+    """The same value with the fields of all structs in alphabetical order, at any depth."""
+    if isinstance(kind, StructType):
+        return F.struct(*[sorted_struct(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sorted_struct(x, kind.elementType))
+    return value
+
+
+def content_hash(value: Column, kind: DataType) -> Column:
+    """SHA-256 of the value as JSON with ordered keys, so that the order of fields says nothing."""
+    return F.sha2(F.to_json(sorted_struct(value, kind)), 256)

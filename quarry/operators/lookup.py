@@ -155,7 +155,8 @@ def resolve_targets(g: Graph, targets: DataFrame) -> DataFrame:
     by_id = g.nodes().select("id").join(t, F.col("id") == F.col("target")).select("target", F.lit(0).alias("tier"), "id")
     paths = path_matches(g.files.select("path"), t)
     exact = paths.filter("tier = 0").select("target", F.lit(1).alias("tier"), file_id(F.col("path")).alias("id"))
-    domain = g.domains.join(t, (F.col("name") == F.col("target")) | (F.col("id") == domain_id(F.col("target")))).select("target", F.lit(2).alias("tier"), "id")
+    by_name = g.domains.join(t, F.col("name") == F.col("target")).select("target", F.lit(2).alias("tier"), "id")
+    domain = by_name.unionByName(g.domains.join(t.withColumn("id", domain_id(F.col("target"))), "id").select("target", F.lit(2).alias("tier"), "id"))
     suffix = paths.filter("tier = 1").select("target", F.lit(3).alias("tier"), file_id(F.col("path")).alias("id"))
     symbol = g.symbols.join(t, F.col("name") == F.col("target")).select("target", F.lit(4).alias("tier"), "id")
     every = by_id.unionByName(exact).unionByName(domain).unionByName(suffix).unionByName(symbol).distinct()
@@ -202,7 +203,3 @@ def minimal_symbols(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     path = F.coalesce("path", F.regexp_extract("id", r"^sym:(.*)#[^#]*$", 1))
     name = F.coalesce("name", F.regexp_extract("id", r"#([^#]*)$", 1))
     return wanted.join(symbols.select("id", "path", "name"), "id", "left").select("id", name.alias("name"), path.alias("path"))
-
-
-def label_of(node: Column) -> Column:
-    return kind_of_id(node)

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from quarry.functions.paths import dir_name, is_relative, kebab, package_name, resolve_path
 
 # A runtime extension and what its source may have, in order; then what a bare path may have.
-RUNTIME = {"js": ("ts", "tsx", "js", "jsx"), "jsx": ("tsx", "jsx"), "mjs": ("mts", "mjs"), "cjs": ("cts", "cjs")}
-EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
+RUNTIME = {".mjs": (".mts", ".d.mts", ".mjs"), ".cjs": (".cts", ".d.cts", ".cjs"), ".jsx": (".tsx", ".d.ts", ".jsx"), ".js": (".ts", ".tsx", ".d.ts", ".js", ".jsx")}
+EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".d.ts", ".d.mts", ".d.cts", ".js", ".jsx", ".mjs", ".cjs")
 
 
 def candidates(base):
     """Paths that a base may stand for, best first: its sources by runtime extension, or itself, with an extension, as a folder's index."""
-    plain = F.array(base, *[F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS], *[F.concat(base, F.lit(f"/index.{e}")) for e in EXTENSIONS])
+    plain = F.array(base, *[F.concat(base, F.lit(e)) for e in EXTENSIONS], *[F.concat(base, F.lit(f"/index{e}")) for e in EXTENSIONS])
     out = F.when(F.lit(False), plain)
     for ext, sources in RUNTIME.items():
-        stem = F.regexp_replace(base, rf"\.{ext}$", "")
-        out = out.when(base.endswith(f".{ext}"), F.array(*[F.concat(stem, F.lit(f".{s}")) for s in sources]))
+        bare = F.left(base, F.length(base) - len(ext))
+        out = out.when(F.lower(base).endswith(ext), F.array(*[F.concat(bare, F.lit(e)) for e in sources]))
     return out.otherwise(plain)
 
 
@@ -80,8 +80,8 @@ def match_generated(bases: DataFrame, files: DataFrame, packages: DataFrame) ->
     from quarry.functions.paths import source_variants
 
     owned = longest_prefix(bases.select(F.col("base").alias("path")).distinct(), packages).filter("root is not null").select(F.col("path").alias("base"), "root")
-    inside = owned.select("base", "root", F.posexplode(source_variants(F.expr("substring(base, length(root) + 2)"))).alias("pos", "inner")).filter("pos > 0")
-    options = inside.select("base", "pos", F.concat("root", F.lit("/"), "inner").alias("full"))
+    inside = owned.select("base", "root", F.posexplode(source_variants(F.col("base"), F.col("root"))).alias("pos", "full")).filter("pos > 0")
+    options = inside.select("base", "pos", "full")
     hit = match_source(options.select(F.col("full").alias("base")), files).withColumnRenamed("base", "full")
     return options.join(hit, "full").groupBy("base").agg(F.min_by("path", "pos").alias("path"))
 

@@ -53,8 +53,27 @@ def with_more(rows: DataFrame, order: list, limit: int = 10) -> DataFrame:
 
 
 def unique_slugs(names: DataFrame) -> DataFrame:
-    """name -> slug, repeated slugs numbered from 2 in the order of names."""
+    """name -> slug. A slug that is taken gets the first free number from 2, in the order of names.
+
+    Names in order: what `x` got as x-2 is not free for a name that is x-2 itself.
+    So one task goes through the names of a family (slugs alike but for a number
+    at their end), which is a few names of pages.
+    """
+    import pandas as pd
+
     from quarry.functions.paths import slug
 
-    k = F.row_number().over(Window.partitionBy("slug").orderBy("name"))
-    return names.withColumn("slug", slug(F.col("name"))).withColumn("slug", F.when(k == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), k.cast("string"))))
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        group = group.sort_values("name", kind="stable")
+        out = []
+        for s in group["slug"]:
+            k, free = 2, s
+            while free in used:
+                free, k = f"{s}-{k}", k + 1
+            used.add(free)
+            out.append(free)
+        return group.assign(slug=out)[["name", "slug"]]
+
+    slugs = names.select("name", slug(F.col("name")).alias("slug")).withColumn("family", F.regexp_replace("slug", r"(-\d+)+$", ""))
+    return slugs.groupBy("family").applyInPandas(one, "name string, slug string")

@@ -2,12 +2,13 @@
 
 Each level is one equi-join, an anti-join with what has been reached, and one
 written table in the shared checkpoint folder, so lineage stays short and a lost
-executor costs a read. Nothing is collected but the number of new rows.
+executor costs a read. The job that writes a level also counts it; nothing else
+comes to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -20,6 +21,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return written(df, "level")
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, with its number of rows, by one job."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def reach(seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """node, depth of all that the seeds reach along (src, dst), first-reached depth; seeds have depth 0.
 
@@ -30,9 +38,9 @@ def reach(seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = MAX_DEP
     front, depth = seen.select("node"), 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        new = checkpointed(new.withColumn("depth", F.lit(depth)))
-        if not new.limit(1).count():
+        reached = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+        new, n = counted(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if not n:
             break
         seen = seen.unionByName(new)
         if depth % 8 == 0:

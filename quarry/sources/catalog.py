@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.model import DOMAIN, EDGE, FILE, PACKAGE, SYMBOL, Graph, domain_id, file_id, package_id, symbol_id
+from quarry.plans.shared import scratch, written
 from quarry.plans.shipping import ship
 
 
@@ -28,7 +29,39 @@ def successions(lineitem: DataFrame) -> DataFrame:
     return lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.lead("l_partkey").over(w).alias("np"), F.lead("l_suppkey").over(w).alias("ns"))
 
 
+_stored: dict[tuple[str, str], Graph] = {}
+
+
 def catalog_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the tables, as they were when it was first asked for in this application.
+
+    It is written once, the edges by type, and every query reads these tables:
+    one that asks for a type of edges reads no others, and none goes back to the
+    order lines.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored or not _there(_stored[key]):
+        g = projected(spark, sf_dir)
+        tables = {name: written(getattr(g, name), f"graph-{name}") for name in ("files", "symbols", "packages", "domains")}
+        path = scratch(spark, "graph-edges")
+        g.edges.write.partitionBy("type").parquet(path)
+        edges = spark.read.schema(g.edges.schema).parquet(path).select(*g.edges.columns)
+        _stored[key] = Graph(**tables, edges=edges)
+    return _stored[key]
+
+
+def _there(g: Graph) -> bool:
+    """Whether the written tables are still in the shared folder."""
+    context = g.files.sparkSession.sparkContext
+    for df in (g.files, g.symbols, g.packages, g.domains, g.edges):
+        for name in df.inputFiles()[:1]:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            if not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path):
+                return False
+    return True
+
+
+def projected(spark: SparkSession, sf_dir: str) -> Graph:
     ship(spark)
     part, supplier, lineitem = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
     brand = F.lower(F.regexp_replace("p_brand", "#", "-"))
@@ -49,7 +82,7 @@ def catalog_graph(spark: SparkSession, sf_dir: str) -> Graph:
     name_of = lambda k: F.concat(F.lit("s"), F.col(k).cast("string"))
     names = supplier.select("s_suppkey", package_id(F.col("s_name")).alias("pkg"))
 
-    s = successions(lineitem)
+    s = written(successions(lineitem), "successions")
     inner = s.filter("np is not null and l_quantity >= 49").select(F.col("l_partkey").alias("a"), F.col("np").alias("b")).distinct()
     outer = s.filter("l_returnflag = 'A' and l_quantity >= 49").select(F.col("l_partkey").alias("a"), "l_suppkey").distinct()
     declared = lineitem.select("l_partkey", "l_suppkey").distinct()
@@ -65,6 +98,7 @@ def catalog_graph(spark: SparkSession, sf_dir: str) -> Graph:
         (F.col("l_suppkey") % 2 == 0).alias("exported"),
         F.col("l_suppkey").alias("line"),
     )
+    symbols = written(symbols, "symbols")
     imports = inner.join(pa, "a").join(pb, "b").select(F.lit("IMPORTS").alias("type"), file_id(F.col("pa")).alias("src"), file_id(F.col("pb")).alias("dst"), F.lit("internal").alias("kind"), F.concat(F.lit("/"), "pb").alias("specifier"))
     external = outer.join(pa, "a").join(names, F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.lit("IMPORTS").alias("type"), file_id(F.col("pa")).alias("src"), F.col("pkg").alias("dst"), F.lit("external").alias("kind"), F.regexp_replace("pkg", "^pkg:", "").alias("specifier")
