@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .extract import layers
 from .functions import paths as fp
 from .model import Graph, edge_id, file_id, kind_of_id, tail
 from .operators import aggregates as ag
@@ -390,9 +392,24 @@ def _(g):
     return ag.most_connected_symbols(g)
 
 
-@graph_query("G18_named_symbols", "select id, name from symbol where exported and regexp_matches(name, '^s1[0-9]$')")
+NAMED = "(select id, path, case line % 4 when 0 then 'use' || upper(substr(name, 1, 1)) || substr(name, 2) when 1 then 'View' || name when 2 then 'USER' || name else 'user' || name end as name, exported from symbol)"
+
+
+@graph_query("G18_hooks_components", f"select case when regexp_matches(name, '^use[A-Z]') then 'hook' else 'component' end as what, id, name from {NAMED} where exported and (regexp_matches(name, '^use[A-Z]') or regexp_matches(name, '^[A-Z][a-z]'))")
+def _(g):
+    k = F.col("line") % 4
+    name = F.when(k == 0, F.concat(F.lit("use"), F.initcap("name"))).when(k == 1, F.concat(F.lit("View"), "name")).when(k == 2, F.concat(F.lit("USER"), "name")).otherwise(F.concat(F.lit("user"), "name"))
+    return ag.hooks_and_components(replace(g, symbols=g.symbols.withColumn("name", name)))
+
+
+@graph_query("G18_biggest_domains", "select dst as id, count(*) as files from belongs group by dst order by files desc, id limit 10")
 def _(g):
-    return ag.named_symbols(g, "^s1[0-9]$")
+    return ag.biggest_domains(g)
+
+
+@graph_query("G18_depended_packages", "select dst as id, count(distinct src) as files from external group by dst order by files desc, id limit 20")
+def _(g):
+    return ag.most_depended_packages(g)
 
 
 @graph_query("G19_label_counts", "select label, count(*) as n from node group by label union all select 'edges', count(*) from edge where type <> 'EXPOSES'")
@@ -406,6 +423,13 @@ def _(g):
     return ru.evaluate(g, forbidden=g.edges.sparkSession.createDataFrame(RULES, "from string, to string"), max_dead_exports=100_000, max_domain_pairs=300)
 
 
+@graph_query("G20_offenders", DEAD + """, o as (select 'forbidden' as rule, i.src || ' -> ' || i.dst as offender from internal i join belongs x on i.src = x.src join belongs y on i.dst = y.src where x.dst <> y.dst and (x.dst = 'domain:brand-11' or y.dst = 'domain:brand-12' or x.dst = 'domain:brand-21' and y.dst = 'domain:brand-31')
+union all select 'dead_exports', id from dead where not held_back union all select 'domain_pairs', src || ' -> ' || dst from depends)
+select rule, offender, cast(position as int) as position, total from (select *, row_number() over (partition by rule order by offender) as position, count(*) over (partition by rule) as total from o) where position <= 20""")
+def _(g):
+    return ru.offenders(g, forbidden=g.edges.sparkSession.createDataFrame(RULES, "from string, to string"), dead=True, pairs=True)
+
+
 @table_query("G22_F11_estimate", "select count(*) as items, cast(sum(ceil(length(text) / 4.0)) as bigint) as input_tokens, count(*) * 200 as output_tokens from conversations")
 def _(spark, d):
     return ag.text_estimate(table(spark, d, "conversations"))
@@ -506,10 +530,11 @@ def _(g):
     return inc.merge_layers([g.files.select("id", "kind"), g.symbols.select("id", "kind")]).select("id", "layer", "kind")
 
 
-@graph_query("U3_known_unknown", "select p, p in (select path from file) as known from (select path as p from file where kind = 'test' union select path || 'x' from file where kind = 'asset')")
+@graph_query("U3_known_unknown", "select path as p, true as known from file where kind = 'test' union all select path || 'x', false from file where kind = 'asset'")
 def _(g):
-    p = g.files.filter("kind = 'test'").select(F.col("path").alias("p")).union(g.files.filter("kind = 'asset'").select(F.concat("path", F.lit("x"))))
-    return p.join(g.files.select(F.col("path").alias("p"), F.lit(True).alias("known")), "p", "left").select("p", F.coalesce("known", F.lit(False)).alias("known"))
+    p = g.files.filter("kind = 'test'").select("path").union(g.files.filter("kind = 'asset'").select(F.concat("path", F.lit("x"))))
+    known, unknown = tr.known_and_unknown(g, p)
+    return known.select(F.col("path").alias("p"), F.lit(True).alias("known")).union(unknown.select("path", F.lit(False)))
 
 
 @graph_query("U5_disjoint_buckets", "select path, case when kind = 'test' then 'added' when size_bytes < 2000 then 'deleted' else 'modified' end as change from file where kind = 'test' or size_bytes < 2000 or size_bytes < 3000")
@@ -520,10 +545,18 @@ def _(g):
 
 @graph_query("U6_I1_incremental", "select src, dst from internal")
 def _(g):
-    """Edges of affected files are extracted anew from the orders; the rest comes from the cache. The result is the whole layer."""
+    """The cache holds edges that are gone, edges of a file that is gone, and none of what affected files import now; their modules are read again. The result is the layer of now."""
     full = g.of("IMPORTS").filter("kind = 'internal'").select("src", "dst")
     affected = g.files.filter("kind = 'test'").select(F.col("id").alias("node"))
-    return inc.incremental_layer(full, affected, lambda src: full.join(src.select(F.col("id").alias("src")), "src", "left_semi"), g.files.select("id"))
+    marked = full.join(affected.select(F.col("node").alias("src"), F.lit(True).alias("old")), "src", "left")
+    cached = marked.select("src", F.when(F.col("old"), F.concat("dst", F.lit("-before"))).otherwise(F.col("dst")).alias("dst")).union(full.limit(5).select(F.concat("src", F.lit("-deleted")), "dst"))
+    sources = _sources(g).select(file_id(F.col("path")).alias("id"), "path", "text")
+
+    def extract(again: DataFrame) -> DataFrame:
+        found = layers.specifier_rows(again.join(sources, "id").select("path", "text")).filter(F.col("specifier").startswith("/"))
+        return found.select(file_id(F.col("path")).alias("src"), file_id(F.expr("substring(specifier, 2)")).alias("dst"))
+
+    return inc.incremental_layer(cached, affected, extract, g.files.select("id"))
 
 
 @graph_query("S7_snapshot_diff", "select path, case when kind = 'test' then 'added' when kind = 'asset' then 'deleted' else 'modified' end as change from file where kind in ('test', 'asset') or entry_point")
@@ -549,9 +582,24 @@ def _(g):
     return g.files.filter(fp.is_linkable(F.col("path")) & F.col("kind").isin("code", "test")).select("path")
 
 
-@graph_query("S13_load_graph", "select type, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from edge group by type")
+@graph_query("S13_S14_load_graph", "select type, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from (select distinct type, src, dst from edge) group by type union all select 'nodes', count(*), 0, 0 from file")
 def _(g):
-    return g.edges.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    """Layers written as JSON lines and loaded again: files twice, with other properties, and edges twice."""
+    from .plans.shared import scratch
+    from .sources.jsonl import load_layers, write_jsonl
+
+    spark = g.edges.sparkSession
+    cache = scratch(spark, "layers")
+    nodes = g.files.select("id", F.array(F.lit("File")).alias("labels"), F.create_map(F.lit("path"), F.col("path"), F.lit("size"), F.col("size_bytes").cast("string")).alias("properties"))
+    edges = g.edges.select(edge_id(F.col("src"), F.col("type"), F.col("dst")).alias("id"), "type", F.col("src").alias("from"), F.col("dst").alias("to"), F.create_map(F.lit("kind"), F.col("kind")).alias("properties"))
+    write_jsonl(nodes, f"{cache}/inventory/nodes.jsonl")
+    write_jsonl(edges.filter("type = 'IMPORTS'"), f"{cache}/imports/edges.jsonl")
+    write_jsonl(edges, f"{cache}/references/edges.jsonl")
+    write_jsonl(nodes.withColumn("properties", F.create_map(F.lit("size"), F.lit("0"))), f"{cache}/imports/nodes.jsonl")
+    n, e, found = load_layers(spark, cache)
+    counts = e.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    zero = F.lit(0).cast("long")
+    return counts.unionByName(n.select("id").distinct().agg(F.count("*").alias("n")).select(F.lit("nodes").alias("type"), "n", zero.alias("sources"), zero.alias("targets")))
 
 
 @graph_query("S20_nearest_config", "select path, case when path like 'src/brand-11/%' then 'src/brand-11' else 'src' end as root from file")
@@ -655,14 +703,6 @@ graph_query("R10_impact_risky_exports", f", t as (select dst as id from {TEN}) s
 graph_query("R10_impact_tests", IMPACT + " select id as node from touched where id in (select id from file where kind = 'test')", True)(_impact("tests"))
 
 
-@graph_query("R11_file_brief", f"""select f.id, f.kind, (select count(*) from symbol s where s.path = f.path) as symbols, (select count(distinct src) from internal where dst = f.id) as importers, (select count(*) from edge where type = 'IMPORTS' and src = f.id) as imports, (select dst from belongs where src = f.id) as domain from file f""")
-def _(g):
-    n = lambda df, key, name: df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
-    d, i = g.of("DECLARES"), g.of("IMPORTS").select("src", "dst").distinct()
-    out = g.files.select("id", "kind").join(n(d, "src", "symbols"), "id", "left").join(n(i, "dst", "importers"), "id", "left").join(n(i, "src", "imports"), "id", "left")
-    return out.join(g.of("BELONGS_TO").select(F.col("src").alias("id"), F.col("dst").alias("domain")), "id", "left").fillna(0, ["symbols", "importers", "imports"])
-
-
 # scalar functions -----------------------------------------------------------
 
 @table_query("F1_F3_ids", "select 'file:' || url as file_id, regexp_extract(rtrim(url, '/'), '[^/]*$') as base, 'edge:' || 'file:' || url || ':IMPORTS:pkg:x' as edge_id, page_id from pages")
@@ -809,6 +849,21 @@ def _(g):
     return rs.match_generated(bases, files, spark.createDataFrame([("pk",), ("dist",)], "root string"))
 
 
+@graph_query("R11_file_brief", """select f.id, f.kind, (select count(*) from symbol s where s.path = f.path) as symbols, (select count(*) from symbol s where s.path = f.path and s.exported) as exported, (select count(distinct src) from internal where dst = f.id) as importers,
+(select count(*) from (select distinct dst from edge where type = 'IMPORTS' and src = f.id)) as imports, b.dst as domain from file f left join belongs b on b.src = f.id""")
+def _(g):
+    return lo.file_briefs(g)
+
+
+@graph_query("R11_symbol_brief", """select s.id, s.name, s.kind, s.exported, coalesce(r.n, 0) as referencing_files, coalesce(r.own, 0) as own_references, coalesce(u.n, 0) as users, b.dst as domain from symbol s
+left join (select dst, count(distinct src) filter (not same_file) as n, count(distinct src) filter (same_file) as own from refs group by dst) r on r.dst = s.id left join (select dst, count(distinct src) as n from uses group by dst) u on u.dst = s.id left join belongs b on b.src = 'file:' || s.path""")
+def _(g):
+    return lo.symbol_briefs(g)
+
+
+graph_query("R10_impact_radius", IMPACT + f" select id as node, cast(min(d) as int) as depth from r where id not in {TEN} group by id", True)(_impact("radius"))
+
+
 @graph_query("R13_path_compression")
 def _(g):
     """The paths of each domain's files, compressed round by round until no folder saves anything: prefix, rest."""
@@ -840,9 +895,11 @@ def _(g):
     return g.nodes().select("id", kind_of_id(F.col("id")).alias("label"))
 
 
-@graph_query("H4_S4_file_hash", "select id, sha256(path) as sha256 from file")
+@graph_query("H4_S4_file_hash", "select id, sha256(case when kind = 'test' then null else path end || '') as sha256 from file where kind <> 'test' union all select id, sha256('text of ' || name) from file where kind = 'test'")
 def _(g):
-    return g.files.select("id", F.coalesce("sha256", F.sha2("path", 256)).alias("sha256"))
+    """The hash that the inventory has, else that of the text; tests come without one here."""
+    files = g.files.withColumn("sha256", F.when(F.col("kind") != "test", F.col("sha256")))
+    return lo.file_hashes(files, g.files.select("path", F.concat(F.lit("text of "), "name").alias("text")))
 
 
 @table_query("S4_hash_texts", "select doc_id, sha256(text) as sha256 from documents")
@@ -850,9 +907,29 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@table_query("P6_specifiers", """select page_id, m as specifier from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as m from pages)""")
-def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("specifier"))
+def _sources(g: Graph) -> DataFrame:
+    """path, text: a module for every file that imports, with decoys in a comment, a string and a template."""
+    e = g.of("IMPORTS").select(tail(F.col("src")).alias("path"), "kind", "specifier")
+    line = F.when(F.col("kind") == "internal", F.concat(F.lit("import { x } from '"), "specifier", F.lit("';"))).otherwise(F.concat(F.lit('const y = require("'), "specifier", F.lit('");')))
+    made = e.select("path", F.struct((F.col("kind") != "internal").alias("k"), "specifier", line.alias("line")).alias("l")).groupBy("path").agg(F.sort_array(F.collect_list("l")).alias("l"))
+    decoys = F.lit("// import { no } from 'no';\nconst s = \"import z from 'no'\", t = `from 'no'`;")
+    return made.select("path", F.concat_ws("\n", decoys, F.col("l.line")).alias("text"))
+
+
+@graph_query("P6_specifiers", "select substr(src, 6) as path, row_number() over (partition by src order by kind <> 'internal', specifier) - 1 as ord, specifier from edge where type = 'IMPORTS'")
+def _(g):
+    return layers.specifier_rows(_sources(g))
+
+
+@graph_query("P9_J13_resolved_imports", "select substr(src, 6) as file, specifier, case when kind = 'internal' then 'unresolved' else 'external' end as kind, case when kind = 'external' then 'pkg:' || specifier end as target from edge where type = 'IMPORTS' and not contains(specifier, '/') union all select substr(src, 6), './../../' || substr(specifier, 6), 'internal', substr(specifier, 2) from edge where type = 'IMPORTS' and kind = 'internal' and contains(specifier, '/')")
+def _(g):
+    """Specifiers out of the modules' texts, the internal ones made relative, resolved on the files."""
+    found = layers.specifier_rows(_sources(g))
+    inner = F.col("specifier").startswith("/")
+    specs = found.select(F.col("path").alias("file"), F.when(inner, F.concat(F.lit("./../../"), F.expr("substring(specifier, 6)"))).otherwise(F.col("specifier")).alias("specifier"))
+    spark = g.edges.sparkSession
+    none = spark.createDataFrame([], "name string, dir string")
+    return rs.resolve_specifiers(specs, g.files, _patterns(spark).limit(0), none, spark.createDataFrame([], "root string"))
 
 
 @table_query("P15_slice_lines", "select doc_id, case when text is not null then coalesce(array_to_string(string_split(text, chr(10))[2:4], chr(10)), '') end as part from documents")

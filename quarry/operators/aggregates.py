@@ -150,13 +150,21 @@ def most_connected_symbols(g: Graph, limit: int = 20) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(limit)
 
 
-def named_symbols(g: Graph, pattern: str) -> DataFrame:
-    """Exported symbols whose names match, as hooks and components do."""
-    return g.symbols.filter(F.col("exported") & F.col("name").rlike(pattern)).select("id", "name")
+HOOK, COMPONENT = "^use[A-Z]", "^[A-Z][a-z]"  # fixed values
 
 
-HOOKS = "^use[A-Z]"
-COMPONENTS = "^[A-Z][a-z]"
+def hooks_and_components(g: Graph) -> DataFrame:
+    """what (hook or component), id, name of exported symbols that are named as one."""
+    what = F.when(F.col("name").rlike(HOOK), "hook").when(F.col("name").rlike(COMPONENT), "component")
+    return g.symbols.filter("exported").select(what.alias("what"), "id", "name").filter("what is not null")
+
+
+def biggest_domains(g: Graph, limit: int = 10) -> DataFrame:
+    return g.of("BELONGS_TO").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "id").limit(limit)
+
+
+def most_depended_packages(g: Graph, limit: int = 20) -> DataFrame:
+    return package_ranking(g).select("id", "files").orderBy(F.desc("files"), "id").limit(limit)
 
 
 def text_estimate(texts: DataFrame, prompt: str = "text", output_tokens: int = 200) -> DataFrame:

@@ -203,3 +203,28 @@ def minimal_symbols(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     path = F.coalesce("path", F.regexp_extract("id", r"^sym:(.*)#[^#]*$", 1))
     name = F.coalesce("name", F.regexp_extract("id", r"#([^#]*)$", 1))
     return wanted.join(symbols.select("id", "path", "name"), "id", "left").select("id", name.alias("name"), path.alias("path"))
+
+
+def file_hashes(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, sha256 of files: what the inventory has, else the hash of the text (path, text); null without both."""
+    made = texts.select("path", F.sha2("text", 256).alias("made"))
+    return files.select("id", "path", "sha256").join(made, "path", "left").select("id", F.coalesce("sha256", "made").alias("sha256"))
+
+
+def file_briefs(g: Graph) -> DataFrame:
+    """Per file its kind, symbols, exported symbols, importers, imports and domain."""
+    n = lambda df, key, name: df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
+    links = g.of("IMPORTS").select("src", "dst").distinct()
+    declared = g.symbols.groupBy(file_id(F.col("path")).alias("id")).agg(F.count("*").alias("symbols"), F.count_if("exported").alias("exported"))
+    out = g.files.select("id", "kind").join(declared, "id", "left").join(n(links, "dst", "importers"), "id", "left").join(n(links, "src", "imports"), "id", "left")
+    return out.join(g.of("BELONGS_TO").select(F.col("src").alias("id"), F.col("dst").alias("domain")), "id", "left").fillna(0, ["symbols", "exported", "importers", "imports"])
+
+
+def symbol_briefs(g: Graph) -> DataFrame:
+    """Per symbol its kind, the files that reference it, own references, symbols that use it, and its domain."""
+    same = F.coalesce("same_file", F.lit(False))
+    refs = g.of("REFERENCES").groupBy(F.col("dst").alias("id")).agg(F.count_distinct(F.when(~same, F.col("src"))).alias("referencing_files"), F.count_distinct(F.when(same, F.col("src"))).alias("own_references"))
+    users = g.of("USES").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("users"))
+    domain = g.of("BELONGS_TO").select(F.col("src").alias("file"), F.col("dst").alias("domain"))
+    out = g.symbols.select("id", "name", "kind", "exported", file_id(F.col("path")).alias("file")).join(refs, "id", "left").join(users, "id", "left").join(domain, "file", "left").drop("file")
+    return out.fillna(0, ["referencing_files", "own_references", "users"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.model import Graph
 
 from .lookup import dead_exports
+from .windows import top_per_group
 
 
 def forbidden_dependencies(g: Graph, rules: DataFrame) -> DataFrame:
@@ -41,6 +42,55 @@ def evaluate(g: Graph, *, forbidden: DataFrame | None = None, max_dead_exports:
     return result
 
 
+def offenders(g: Graph, *, forbidden: DataFrame | None = None, dead: bool = False, pairs: bool = False, cycles: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """rule, offender, position, total: what breaks each rule, the first `most` in order, and how many there are."""
+    parts: list[DataFrame] = []
+    arrow = lambda a, b: F.concat(a, F.lit(" -> "), b).alias("offender")
+    if forbidden is not None:
+        parts.append(forbidden_dependencies(g, forbidden).select(F.lit("forbidden").alias("rule"), arrow(F.col("src"), F.col("dst"))))
+    if dead:
+        parts.append(dead_exports(g).select(F.lit("dead_exports").alias("rule"), F.col("id").alias("offender")))
+    if pairs:
+        parts.append(g.of("DEPENDS_ON").select(F.lit("domain_pairs").alias("rule"), arrow(F.col("src"), F.col("dst"))))
+    if cycles is not None:
+        parts.append(cycles.select(F.lit("no_cycles").alias("rule"), F.col("ring").alias("offender")))
+    if not parts:
+        return g.edges.sparkSession.createDataFrame([], "rule string, offender string, position int, total long")
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    totals = rows.groupBy("rule").agg(F.count("*").alias("total"))  # a row per rule
+    return top_per_group(rows, ["rule"], [F.asc("offender")], most).join(F.broadcast(totals), "rule")
+
+
+def check(g: Graph, rules: dict, *, forbidden: DataFrame | None = None, resolution: DataFrame | None = None, cycles: DataFrame | None = None, most: int = 20) -> dict:
+    """The whole answer: configured, ok, problems, and per rule ok, total, detail and the first offenders.
+
+    `rules` has the limits by name (see PREREQUISITES). Without rules nothing is
+    configured and nothing fails; unknown rules and missing layers are problems.
+    """
+    unknown = unknown_rules(set(rules))
+    if not rules:
+        return {"configured": False, "ok": True, "rules": [], "problems": []}
+    missing = missing_prerequisites(set(rules), g.layers)
+    usable = {r for r in rules if r not in unknown and r not in missing}
+    verdicts = evaluate(
+        g, forbidden=forbidden if "forbidden" in usable else None, max_dead_exports=rules["dead_exports"] if "dead_exports" in usable else None, max_domain_pairs=rules["domain_pairs"] if "domain_pairs" in usable else None,
+        min_resolution=rules["resolution"] if "resolution" in usable else None, resolution=resolution, no_cycles=cycles if "no_cycles" in usable else None,
+    )
+    bad = offenders(g, forbidden=forbidden if "forbidden" in usable else None, dead="dead_exports" in usable, pairs="domain_pairs" in usable, cycles=cycles if "no_cycles" in usable else None, most=most)
+    listed: dict[str, list[str]] = {}
+    for r in bad.orderBy("rule", "position").collect():  # `most` a rule
+        listed.setdefault(r["rule"], []).append(r["offender"])
+    out = []
+    for v in sorted(verdicts.collect(), key=lambda v: v["rule"]):
+        limit = rules.get(v["rule"])
+        detail = f"{v['total']} found" + (f", {limit} allowed" if isinstance(limit, (int, float)) and not isinstance(limit, bool) else "")
+        out.append({"rule": v["rule"], "ok": v["ok"], "total": v["total"], "detail": detail, "offenders": [] if v["ok"] else listed.get(v["rule"], [])})
+    problems = [f"unknown rule: {r}" for r in unknown] + [f"{r} needs layers: {', '.join(sorted(m))}" for r, m in sorted(missing.items())]
+    return {"configured": True, "ok": not problems and all(r["ok"] for r in out), "rules": out, "problems": problems}
+
+
 #: Layers that each rule needs.
 PREREQUISITES = {"forbidden": {"imports", "domains"}, "dead_exports": {"symbols", "references"}, "domain_pairs": {"domains"}, "resolution": {"imports"}, "no_cycles": {"imports"}}
 

@@ -51,11 +51,16 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = MAX_
     return spark.createDataFrame(list(enumerate(path)), "hop int, node string")
 
 
+def known_and_unknown(g: Graph, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (path) that are files of the graph, with their ids as node, and the others."""
+    ids = paths.select("path", file_id(F.col("path")).alias("node"))
+    of = g.files.select(F.col("id").alias("node"))
+    return ids.join(of, "node", "left_semi"), ids.join(of, "node", "left_anti")
+
+
 def build_impact(g: Graph, changed: DataFrame, max_depth: int = MAX_DEPTH) -> dict[str, DataFrame]:
     """Sections of an impact answer for changed paths (column path)."""
-    ids = changed.select("path", file_id(F.col("path")).alias("node"))
-    known = ids.join(g.files.select(F.col("id").alias("node")), "node", "left_semi")
-    unknown = ids.join(g.files.select(F.col("id").alias("node")), "node", "left_anti")
+    known, unknown = known_and_unknown(g, changed)
     radius = checkpointed(transitive_importers(g, known, max_depth))
     touched = known.select("node").unionByName(radius.select("node")).distinct()
     of = g.of("BELONGS_TO").select(F.col("src").alias("node"), F.col("dst").alias("domain"))
