@@ -86,11 +86,27 @@ def match_generated(bases: DataFrame, files: DataFrame, packages: DataFrame) ->
     return options.join(hit, "full").groupBy("base").agg(F.min_by("path", "pos").alias("path"))
 
 
+def _package_bases(specs: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """file, specifier, ord, base: where specifiers of workspace packages may lead, by the manifests' targets, then in the usual places."""
+    from quarry.sources.workspaces import alias_targets
+
+    known = workspaces.select("name", "dir", *[(F.col(c) if c in workspaces.columns else F.lit(None).cast(t)).alias(c) for c, t in (("entries", "array<string>"), ("subpaths", "map<string,array<string>>"))])
+    known = known.withColumn("entries", F.coalesce("entries", F.array().cast("array<string>")))
+    targets = alias_targets(known)
+    rows = specs.join(known.select(F.col("name").alias("package"), "dir"), "package")
+    exact = rows.join(targets.withColumnRenamed("pattern", "specifier"), "specifier").select("file", "specifier", "ord", "base")
+    sub = F.expr("substring(specifier, length(package) + 2)")
+    deep = rows.filter(sub != "").join(targets.filter(~F.col("pattern").endswith("/*")).select(F.col("pattern").alias("specifier")).distinct(), "specifier", "left_anti")
+    wild = deep.select("file", "specifier", F.posexplode(F.array(F.concat("dir", F.lit("/src/"), sub), F.concat("dir", F.lit("/"), sub))).alias("ord", "base"))
+    return exact.unionByName(wild)
+
+
 def resolve_specifiers(specs: DataFrame, files: DataFrame, patterns: DataFrame, workspaces: DataFrame, packages: DataFrame) -> DataFrame:
     """file, specifier, kind, target of every (file, specifier).
 
     The first stage that claims a specifier decides, found or not: relative,
-    alias, absolute (never found), workspace package (name, dir), external.
+    alias, absolute (never found), workspace package, external. `workspaces` has
+    name and dir, and entries, subpaths if the manifests are known.
     """
     s = specs.select("file", "specifier").distinct()
     rel = s.filter(is_relative(F.col("specifier"))).withColumn("base", resolve_path(F.when(dir_name(F.col("file")) == ".", "").otherwise(dir_name(F.col("file"))), F.col("specifier")))
@@ -107,11 +123,7 @@ def resolve_specifiers(specs: DataFrame, files: DataFrame, patterns: DataFrame,
     absolute = rest.filter(F.col("specifier").startswith("/"))
     ab_out = absolute.select("file", "specifier", F.lit("unresolved").alias("kind"), F.lit(None).cast("string").alias("target"))
     rest = rest.filter(~F.col("specifier").startswith("/")).withColumn("package", package_name(F.col("specifier")))
-    ws = rest.join(workspaces.select(F.col("name").alias("package"), "dir"), "package")
-    sub = F.expr("substring(specifier, length(package) + 2)")
-    bases = ws.select(
-        "file", "specifier", F.posexplode(F.when(sub == "", F.array(F.concat("dir", F.lit("/src/index")), F.concat("dir", F.lit("/index")))).otherwise(F.array(F.concat("dir", F.lit("/src/"), sub), F.concat("dir", F.lit("/"), sub)))).alias("ord", "base")
-    )
+    bases = _package_bases(rest, workspaces)
     ws_hit = bases.join(match_source(bases, files), "base", "left").groupBy("file", "specifier").agg(F.min_by("path", F.when(F.col("path").isNotNull(), F.col("ord"))).alias("path"))
     ws_out = ws_hit.select("file", "specifier", F.when(F.col("path").isNull(), "unresolved").otherwise("internal").alias("kind"), F.col("path").alias("target"))
     ex = rest.join(workspaces.select(F.col("name").alias("package")), "package", "left_anti")

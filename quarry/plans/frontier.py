@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 MAX_DEPTH = 25
 
@@ -35,7 +35,7 @@ def reach(seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = MAX_DEP
     """
     steps = edges.select("src", "dst").distinct().persist()
     seen = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    front, depth = seen.select("node"), 0
+    front, depth, levels = seen.select("node"), 0, [seen]
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
@@ -43,8 +43,11 @@ def reach(seeds: DataFrame, edges: DataFrame, *, max_depth: int | None = MAX_DEP
         if not n:
             break
         seen = seen.unionByName(new)
+        levels.append(new)
         if depth % 8 == 0:
             seen = checkpointed(seen)
+            dropped(*levels[:-1])
+            levels = [new, seen]
         front = new.select("node")
     steps.unpersist()
     return seen

@@ -46,19 +46,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete what `written` made of these tables, once nothing reads them any more."""
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that `written` made, once nothing reads them any more; others are left alone."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        base = shared_dir(df.sparkSession)
-        jvm = context._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/") + "/"):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        path = getattr(df, "written_to", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            there = context._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

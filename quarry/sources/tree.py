@@ -60,7 +60,7 @@ class Ignore:
         return hit
 
 
-def ignore_of(root: str, names: tuple[str, ...] = (".gitignore",)) -> Ignore:
+def ignore_of(root: str, names: tuple[str, ...] = (".gitignore", ".kgignore")) -> Ignore:
     lines: list[str] = []
     for n in names:
         p = Path(root, n)
@@ -70,11 +70,12 @@ def ignore_of(root: str, names: tuple[str, ...] = (".gitignore",)) -> Ignore:
 
 
 def skipped(name: str, path: str, folder: bool, ignore: Ignore) -> bool:
-    if folder:
-        return name in fp.SKIPPED_DIRS or ignore.match(path, True)
-    secret = name.lower() in fp.SECRET_NAMES or name.lower().endswith(fp.SECRET_SUFFIXES)
-    dotenv = re.match(r"\.env(\.|$)", name) and not re.search(r"\.(sample|example)$", name)
-    return name == ".DS_Store" or secret or bool(dotenv) or ignore.match(path, False)
+    """Skipped folders, system files, credentials, dotenv files but samples, and what the ignore files say."""
+    low = name.lower()
+    if folder and (name in fp.SKIPPED_DIRS or name.endswith(".egg-info")):
+        return True
+    dotenv = (name == ".env" or name.startswith(".env.")) and not low.endswith((".sample", ".example"))
+    return name == ".DS_Store" or name in fp.SECRET_NAMES or low.endswith(tuple(fp.SECRET_SUFFIXES)) or dotenv or ignore.match(path, folder)
 
 
 def walk(root: str, ignore: Ignore | None = None) -> list[tuple[str, bool]]:
@@ -128,7 +129,22 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 def inventory(found: DataFrame) -> DataFrame:
     """File rows: classification beside path, size and hash."""
     p = F.col("path")
-    return found.select(file_id(p).alias("id"), "path", fp.base_name(p).alias("name"), fp.extension(fp.base_name(p)).alias("extension"), fp.language(p).alias("language"), fp.kind(p).alias("kind"), "size_bytes", "sha256")
+    c = fp.classify(p)
+    return found.select(file_id(p).alias("id"), "path", fp.base_name(p).alias("name"), *[c[x].alias(x) for x in ("extension", "language", "kind", "trust", "isBinary", "isGenerated")], "size_bytes", "sha256")
+
+
+def source_files(found: DataFrame) -> DataFrame:
+    """The files that imports can lead to and are worth reading, in order."""
+    return found.filter(fp.is_linkable(F.col("path"))).orderBy("path")
+
+
+def snapshot(found: DataFrame, project: str, vcs: dict) -> tuple[DataFrame, DataFrame]:
+    """The project and the snapshot as nodes (id, label, name), and CAPTURES edges (src, dst) to all files, with the project's to the snapshot."""
+    spark = found.sparkSession
+    root, taken = f"project:{project}", f"snapshot:{project}:{vcs['revision']}"
+    nodes = spark.createDataFrame([(root, "Project", project), (taken, "Snapshot", vcs["revision"])], "id string, label string, name string")
+    edges = found.select(F.lit(taken).alias("src"), file_id(F.col("path")).alias("dst"))
+    return nodes, spark.createDataFrame([(root, taken)], "src string, dst string").unionByName(edges)
 
 
 def directories(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,6 +188,15 @@ def changed_files(root: str, since: str) -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
+def relevant_changes(root: str, ignored: tuple[str, ...] = ()) -> bool:
+    """Whether the working tree differs from its revision outside of paths (files or folders) that tools write."""
+    for line in (git(root, "status", "--porcelain", "--untracked-files=all") or "").splitlines():
+        path = line[3:].split(" -> ")[-1].strip('"')
+        if not any(path == x or path.startswith(x.rstrip("/") + "/") for x in ignored):
+            return True
+    return False
+
+
 def safe_path(root: str, path: str) -> str | None:
     """The real file of a path within the root; null outside of it, for links and for what is no regular file."""
     full = os.path.join(os.path.realpath(root), path)

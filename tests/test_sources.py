@@ -1,14 +1,15 @@
 """Extraction, trees, JSON lines, answers, freshness and streams."""
 
 import json
+import re
 import subprocess
 
 from pyspark.sql import functions as F
 
 from quarry.extract import layers, modules
 from quarry.functions import paths as fp
-from quarry.operators import answer, incremental
-from quarry.sources import jsonl, tree
+from quarry.operators import answer, incremental, resolve
+from quarry.sources import jsonl, tree, workspaces
 from quarry.streaming import changes
 
 SOURCE = """import a, {b as c, type D} from "./x"; import * as ns from '../y';
@@ -121,10 +122,14 @@ def test_scalar_functions(spark):
         fp.kebab: {"FooBar": "foo-bar", "graph_builder": "graph-builder", "MyHTTPServer": "my-http-server", "___": "unassigned", "": "unassigned"},
         fp.norm_posix: {"a\\b\\": "a/b", "": ".", "x/": "x"},
         fp.package_name: {"@acme/ui/button": "@acme/ui", "lodash/fp": "lodash", "react": "react"},
-        fp.extension: {"a.d.ts": "d.ts", ".env": "", "App.test.tsx": "test.tsx", "x.PNG": "png"},
+        fp.extension: {"a.d.ts": ".d.ts", ".env": "", "App.test.tsx": ".tsx", "x.PNG": ".png", "a.tar.gz": ".tar.gz", "Makefile": "", "a.": "."},
         fp.base_symbol_id: {"sym:a/b.ts#x#f~2": "sym:a/b.ts#x#f"},
         fp.symbol_path: {"sym:a/b.ts#x#f~2": "a/b.ts#x"},
-        fp.kind: {"yarn.lock": "lockfile", "a/b.test.ts": "test", "logo.svg": "asset", "x.config.js": "config", "a.ts": "code", "n.md": "doc"},
+        fp.kind: {"yarn.lock": "lockfile", "a/b.test.ts": "test", "logo.svg": "asset", "vite.config.ts": "config", "x.config.js": "code", "a.ts": "code", "n.md": "doc", "a.css": "code", "a.txt": "code", "a.json": "code", "tests/a.py": "test", "tests/a.json": "code", "a.unknown": "code"},
+        fp.language: {"a/Dockerfile": "Dockerfile", "dockerfile.dev": "Dockerfile", "x.xz": "Binary", "a.scss": "CSS", "a.mm": "Objective-C++", "zzz": "Unknown"},
+        fp.slug: {"Álpha Beta.v2": "lpha-Beta.v2", "***": "domain"},
+        fp.is_entry_like: {"run.ts": True, "a/worker.ts": True, "a/b.d.ts": True, "a/b.ts": False, "a/x.config.mjs": True},
+        fp.should_skip: {"a/vendor/x.go": False, "a/out/x.js": False, "a/x.pem": False, "a/x-key.pem": True, "a/.venv/x.py": True, "p.egg-info/x": True, "a/x.p8": True, "_netrc": True, "credentials": False, "dist": False, ".env.example": False},
     }
     for f, table in cases.items():
         for given, wanted in table.items():
@@ -148,3 +153,47 @@ def test_stream_of_changes(spark, tmp_path):
     q = changes.follow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), current, lambda df, n: seen.update({r["path"]: r["change"] for r in df.collect()}), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert seen == {"a": "added", "b": "modified"}
+
+
+def test_manifests():
+    assert workspaces.tolerant_json('{"a": "x // y", /* c */ "b": [1, 2,],\n// d\n}') == {"a": "x // y", "b": [1, 2]} and workspaces.tolerant_json("[1]") is None and workspaces.tolerant_json("{") is None
+    assert workspaces.condition_targets({"require": "./r.js", "zed": "z.js", "types": {"import": "./t.d.ts", "source": "./s.ts"}, "alpha": "a.js", "default": "./r.js"}) == ["s.ts", "t.d.ts", "r.js", "a.js", "z.js"]
+    assert workspaces.split_exports({".": "./i.js", "./sub": {"import": "./sub.js"}, "./null": None}) == (["i.js"], {"sub": ["sub.js"]})
+    assert workspaces.split_exports("./x.js") == (["x.js"], {}) and workspaces.split_exports(["a"]) == ([], {})
+    assert workspaces.bin_targets({"b": "./b.js", "a": "./a.js", "c": 3}) == ["a.js", "b.js"] and workspaces.bin_targets("./c") == ["c"]
+    assert workspaces.pnpm_patterns("x: 1\npackages:\n  - 'a/*' # c\n\n  # d\n  - \"!a/b\"\n  - c # e\nother:\n  - no") == ["a/*", "!a/b", "c"]
+    assert workspaces.pnpm_patterns("packages: [a, 'b c', ]") == ["a", "b c"] and workspaces.pnpm_patterns(None) == []
+    hits = lambda p, d: bool(re.search(workspaces.folder_pattern(p), "/" + d))
+    assert hits("packages/*", "packages/a") and not hits("packages/*", "packages/a/b") and hits("packages/**", "packages/a/b") and hits("./x", "x") and hits("a/**/c", "a/c") and hits("pre-*/q", "pre-1/q")
+
+
+def test_workspace_packages(spark, tmp_path):
+    files = {
+        "package.json": '{"name": "root", "workspaces": {"packages": ["packages/*", "!packages/old"]}}', "pnpm-workspace.yaml": "packages:\n  - tools/**\n",
+        "packages/ui/package.json": '{"name": "@w/ui", "exports": {".": {"import": "./dist/index.js"}, "./theme": "./dist/theme.js"}, "main": "./dist/index.cjs"}', "packages/ui/src/index.ts": "", "packages/ui/src/theme.tsx": "", "packages/ui/src/deep/x.ts": "",
+        "packages/old/package.json": '{"name": "old"}', "packages/bare/package.json": '{"name": "bare", "bin": "./cli.js"}', "packages/bare/index.ts": "", "tools/a/b/package.json": '{"name": "deep"}', "tools/zz/package.json": '{"name": "bare"}',
+        "broken/package.json": "{", "node_modules/m/package.json": '{"name": "m"}', "app.ts": "",
+    }
+    found = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {r["name"]: r for r in workspaces.discover(found, spark.createDataFrame([("linked", "packages/old"), ("bare", "packages/old")], "name string, dir string")).collect()}
+    assert {n: r["dir"] for n, r in got.items()} == {"@w/ui": "packages/ui", "bare": "packages/bare", "deep": "tools/a/b", "linked": "packages/old"}
+    assert got["@w/ui"]["entries"] == ["packages/ui/dist/index.js", "packages/ui/dist/index.cjs"] and got["bare"]["bin"] == ["packages/bare/cli.js"]
+    specs = [("@w/ui", "packages/ui/src/index.ts"), ("@w/ui/theme", "packages/ui/src/theme.tsx"), ("@w/ui/deep/x", "packages/ui/src/deep/x.ts"), ("bare", "packages/bare/index.ts"), ("bare/none", None), ("react", "pkg:react")]
+    none = spark.createDataFrame([], "pattern string, ord int, targets array<string>")
+    rows = resolve.resolve_specifiers(spark.createDataFrame([("app.ts", s) for s, _ in specs], "file string, specifier string"), found.select("path"), none, workspaces.discover(found), spark.createDataFrame([("packages/ui",)], "root string")).collect()
+    assert {r["specifier"]: r["target"] for r in rows} == dict(specs)
+    aliases = {}
+    for r in workspaces.alias_targets(workspaces.discover(found)).orderBy("pattern", "ord").collect():
+        aliases.setdefault(r["pattern"], []).append(r["base"])
+    assert aliases["@w/ui/theme"] == ["packages/ui/dist/theme.js", "packages/ui/src/theme", "packages/ui/theme"] and aliases["bare/*"] == ["packages/bare/src/*", "packages/bare/*"]
+    (tmp_path / "packages/a").mkdir(parents=True)
+    (tmp_path / "node_modules/@s").mkdir(parents=True)
+    (tmp_path / "node_modules/@s/a").symlink_to(tmp_path / "packages/a")
+    (tmp_path / "node_modules/out").symlink_to("/tmp")
+    assert workspaces.links(str(tmp_path)) == [("@s/a", "packages/a")]
+
+
+def test_settings_files(spark):
+    files = [("tsconfig.json", '{"compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["*"], "bad": 3}}}'), ("a/jsconfig.json", '{"compilerOptions": {"baseUrl": "."}}'), ("a/tsconfig.json", "{}"), ("b/jsconfig.json", '{"compilerOptions": {"paths": {"x": ["y"]}}}')]
+    got = {r["dir"]: (r["base_url"], dict(r["paths"])) for r in workspaces.nearest_settings(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {".": ("src", {"@/*": ["*"]}), "b": ("b", {"x": ["y"]})}
