@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import join_heavy, written
+from ._shared import dropped, join_heavy, written
 
 #: Rounds after which something must be wrong: each round about halves the longest path.
 ROUNDS = 60
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large, "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_heavy(large, low, ["u"], "n", large.count()).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = written(small.filter("u <> v").distinct(), "links")
+        before, now = now, written(small.filter("u <> v").distinct(), "links")
+        dropped(before, large)
         was, state = state, now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         n = state["n"]
         if state == was or not n:
@@ -37,4 +38,6 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components")
+    found = written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components")
+    dropped(now)
+    return found

@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans.shared import BROADCAST_ROWS, fresh, join_heavy, scratch, shared_dir, sized, written  # noqa: F401
+from quarry.plans.shared import BROADCAST_ROWS, dropped, fresh, join_heavy, scratch, shared_dir, sized, written  # noqa: F401
 from quarry.plans.shipping import ship
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._ragged import groups
-from ._shared import BROADCAST_ROWS, join_heavy, release, sized, written
+from ._shared import BROADCAST_ROWS, dropped, join_heavy, release, sized, written
 
 WORDS = 3
 DISTANCE = 3
@@ -174,6 +174,7 @@ def representatives(docs: DataFrame, *, words: int = STAGE_WORDS, similarity: fl
     """
     found = similar_groups(docs, words=words, similarity=similarity)
     gone = written(found.filter("node <> root").select("node").distinct(), "near-copies")
+    dropped(found)
     return docs.join(sized(gone, gone.count()), docs["doc_id"].cast("long") == gone["node"], "left_anti")
 
 
@@ -258,7 +259,7 @@ def _made(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches):
         release()
         for batch in batches:
-            for begin, end in groups(batch.column(2)):
+            for begin, end in groups(batch.column(2), 2 << 20):  # its keys take as much memory again
                 part = batch.slice(begin, end - begin)
                 found, fps, sizes = [], [], []
                 for t in part.column(2).to_pylist():
@@ -273,11 +274,11 @@ def _made(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def _first_pairs(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of each row with the first of its key, in an order by hash; and the keys of more than one row, with their numbers."""
+    """Pairs (a, b) of each row with the first of its key, in an order by hash; and the keys of more than one row, with their numbers of rows n."""
     first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc").alias("o"), "doc")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     first = written(first.select("key", F.col("f.doc").alias("b"), "n"), "block-firsts")
     pairs = join_heavy(rows, first, ["key"], "n", total).filter("doc <> b").select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"))
-    return written(pairs.distinct(), "near-pairs"), first.select("key", "n")
+    return written(pairs.distinct(), "near-pairs"), first
 
 
 def _further_pairs(rows: DataFrame, total: int, shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
@@ -319,12 +320,15 @@ def similar_groups(docs: DataFrame, *, words: int = STAGE_WORDS, similarity: flo
     total = made.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     if not total:
         return marks.select(F.col("doc").alias("node"), F.col("doc").alias("root")).limit(0)
-    pairs, shared = _first_pairs(rows, total)
+    pairs, first = _first_pairs(rows, total)
     links = written(_verified(texts, marks, pairs, words, similarity), "near-links")
     reps = written(marks.groupBy("th").agg(F.min("doc").alias("doc")).select("doc").distinct(), "near-texts")
-    further = _further_pairs(rows, total, shared, components(links), reps)
-    further = written(further.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
-    return components(links.unionByName(_verified(texts, marks, further, words, similarity)))
+    roots = components(links)
+    further = written(_further_pairs(rows, total, first.select("key", "n"), roots, reps).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
+    dropped(made, first, pairs, reps, roots)
+    found = components(links.unionByName(_verified(texts, marks, further, words, similarity)))
+    dropped(marks, links, further)
+    return found
 
 
 def _verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
