@@ -5,7 +5,9 @@ import pytest
 
 from quarry.llm import pu_quality
 
-from .test_documents import SF, brute_lines, brute_removals, brute_roots, brute_fingerprint
+from .test_codecs import check_packed
+from .test_documents import SF, brute_lines, brute_removals
+from .test_near import brute_groups
 
 
 @pytest.fixture(scope="module")
@@ -30,11 +32,16 @@ def test_columns_and_order(stages):
 
 
 def test_quality_stage(stages, spark):
+    """The documents that stay are those that the model scores so, whose labels are nearly all good."""
     before, after, *_ = stages["quality_classifier"]
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = pu_quality.train(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    scores = model.scores(pu_quality.measures([r["text"] for r in before], model.grams))
+    assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r, s in zip(before, scores) if s >= 0.3)
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
     kept = {r["doc_id"] for r in after}
-    wrong = [d for d, q in labels.items() if (d in kept) != (q == 1)]
-    assert len(wrong) <= 0.05 * len(labels) and len(kept) < len(before) and pu_quality.THRESHOLD == 0.3
+    wrong = [d for d, q in quality.items() if (d in kept) != (q == 1)]
+    assert len(wrong) <= 0.05 * len(quality) and len(kept) < len(before) and pu_quality.THRESHOLD == 0.3
 
 
 def test_line_stage(stages):
@@ -45,11 +52,8 @@ def test_line_stage(stages):
 
 def test_near_stage(stages):
     before, after, *_ = stages["simhash_near_dedup"]
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in before}
-    roots, least = brute_roots(set(fps.values())), {}
-    for d, f in fps.items():
-        least[roots[f]] = min(d, least.get(roots[f], d))
-    assert sorted(r["doc_id"] for r in after) == sorted(least.values())
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in before])
+    assert sorted(r["doc_id"] for r in after) == sorted(set(groups.values()))
 
 
 def test_suffix_stage(stages):
@@ -61,7 +65,16 @@ def test_suffix_stage(stages):
         assert n - gone <= len(r["text"].encode()) <= n - gone + 6 * (gone > 0) + 3 * gone // 100
 
 
-def test_packing_stage(stages):
+def test_packing_stage(stages, spark):
+    """Every id of every document in its place, and no more sequences than the bound and one."""
     before, after, *_ = stages["best_fit_packing"]
-    assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in before], "doc_id long, text string")
+    n, total = check_packed(docs, after)
+    assert n <= -(-total // 2048) + 1
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run is not None
+
+
+def test_run_is_the_stages(stages, spark):
+    """`run` gives what the stages give one after another."""
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, stages["best_fit_packing"][1]))
