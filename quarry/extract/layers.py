@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.windows import ordinal_ids
+from quarry.plans.frontier import checkpointed, counted
 
 from . import modules
 
@@ -78,21 +81,60 @@ def outline_rows(sources: DataFrame) -> DataFrame:
     )
 
 
+def member_use_rows(sources: DataFrame) -> DataFrame:
+    """path, name, member, line of property accesses."""
+    return _per_file(sources, lambda p, t: [(p, a, b, k) for a, b, k in modules.member_uses(t)], "path string, name string, member string, line long", pa.schema([("path", S), ("name", S), ("member", S), ("line", L)]))
+
+
+def exported_names(states: DataFrame, sources: DataFrame, resolved: DataFrame, base: DataFrame) -> DataFrame:
+    """What names of modules mean, wherever re-exports lead: state columns with `id`, the declared symbol.
+
+    A state is (target, want, rest): a module, the name wanted of it, and what is
+    wanted of that name if it is a namespace. A name that a module declares, or
+    lists under another name, is found there; else it goes on through named, star
+    and namespace re-exports, until no state is new.
+    """
+    keys = ["target", "want", "rest"]
+    aliases = alias_rows(sources).select(F.col("path").alias("target"), F.col("exported").alias("want"), "declared")
+    declared = base.select(F.col("path").alias("target"), F.col("name").alias("own"), "id")
+    onward = checkpointed(reexport_rows(sources).join(resolved.select("path", "specifier", F.col("target").alias("next")), ["path", "specifier"]).select(F.col("path").alias("target"), "kind", "exported", "declared", "next"))
+    asked = checkpointed(states.select(*keys).distinct().withColumn("t0", F.col("target")).withColumn("w0", F.col("want")).withColumn("r0", F.col("rest")))
+    seen, front = asked, asked
+    found = None
+    while True:
+        named = front.join(aliases, ["target", "want"], "left").withColumn("own", F.coalesce("declared", "want")).drop("declared")
+        hit = checkpointed(named.join(declared, ["target", "own"], "left").select(*front.columns, "id"))
+        done = hit.filter("id is not null").select("t0", "w0", "r0", "id")
+        found = done if found is None else found.unionByName(done)
+        step = hit.filter("id is null").drop("id").join(onward, "target")
+        plain = step.filter("kind = 'named' and exported = want or kind = 'star' and want <> 'default'")
+        plain = plain.select(F.col("next").alias("target"), F.when(F.col("kind") == "named", F.col("declared")).otherwise(F.col("want")).alias("want"), "rest", "t0", "w0", "r0")
+        inner = step.filter("kind = 'namespace' and exported = want and rest is not null").select(F.col("next").alias("target"), F.col("rest").alias("want"), F.lit(None).cast("string").alias("rest"), "t0", "w0", "r0")
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}")) for c in seen.columns]
+        front, n = counted(plain.unionByName(inner).distinct().alias("n").join(seen.alias("s"), reduce(and_, same), "left_anti"))
+        if not n:
+            return found.distinct()
+        seen = seen.unionByName(front)
+
+
 def references(sources: DataFrame, resolved: DataFrame, symbols: DataFrame) -> DataFrame:
-    """src path, sym id, same_file, line: lexical references to known symbols.
+    """src path, id, same_file, line: lexical references to known symbols.
 
-    A used name is the file's own symbol, or what its import table says the name
-    is in the file that the specifier resolves to (path, specifier, target), after
-    that file's export aliases.
+    A used name is the file's own symbol, or what its import table says it is in
+    the file that the specifier resolves to (path, specifier, target), through
+    that file's lists and re-exports. `ns.x` is x of what ns was imported from.
     """
     used = use_rows(sources).distinct()
-    base = symbols.filter(~F.col("id").rlike(r"~\d+$")).select("path", "name", "id")
+    base = checkpointed(symbols.filter(~F.col("id").rlike(r"~\d+$")).select("path", "name", "id"))
     own = used.join(base, ["path", "name"]).select(F.col("path").alias("src"), "id", F.lit(True).alias("same_file"), "line")
-    bound = import_rows(sources).join(resolved.select("path", "specifier", "target"), ["path", "specifier"])
-    named = bound.select("path", F.col("local").alias("local"), "target", F.col("name").alias("exported"))
-    back = alias_rows(sources).select(F.col("path").alias("target"), "exported", "declared")
-    meant = named.join(back, ["target", "exported"], "left").select("path", F.col("local").alias("name"), "target", F.coalesce("declared", "exported").alias("declared"))
-    far = used.join(meant, ["path", "name"]).join(base.select(F.col("path").alias("target"), F.col("name").alias("declared"), "id"), ["target", "declared"])
+    bound = checkpointed(import_rows(sources).filter("local <> ''").join(resolved.select("path", "specifier", "target"), ["path", "specifier"]).select("path", F.col("local").alias("name"), "target", F.col("name").alias("exported")))
+    none = F.lit(None).cast("string")
+    plain = used.join(bound.filter("exported <> '*'"), ["path", "name"]).select("path", "line", "target", F.col("exported").alias("want"), none.alias("rest"))
+    parts = member_use_rows(sources).distinct().join(bound, ["path", "name"])
+    parts = parts.select("path", "line", "target", F.when(F.col("exported") == "*", F.col("member")).otherwise(F.col("exported")).alias("want"), F.when(F.col("exported") != "*", F.col("member")).alias("rest"))
+    states = checkpointed(plain.unionByName(parts).distinct())
+    meant = exported_names(states, sources, resolved, base)
+    far = states.join(meant, (F.col("target") == F.col("t0")) & (F.col("want") == F.col("w0")) & F.col("rest").eqNullSafe(F.col("r0")))
     return own.unionByName(far.select(F.col("path").alias("src"), "id", F.lit(False).alias("same_file"), "line")).distinct()
 
 

@@ -7,6 +7,7 @@ namespaces of other files or overloads are approximated by the import table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from .lexer import Token, tokens
@@ -256,6 +257,62 @@ def uses(text: str) -> list[tuple[str, int]]:
     return out
 
 
+def member_uses(text: str) -> list[tuple[str, str, int]]:
+    """(object, member, line) of property accesses on plain names."""
+    ts = tokens(text)
+    return [
+        (a.text, c.text, c.line) for before, a, b, c in zip([None, *ts], ts, ts[1:], ts[2:])
+        if a.kind == "name" and b.text in (".", "?.") and c.kind == "name" and (before is None or before.text not in (".", "?."))
+    ]
+
+
+def _cut(text: str, most: int) -> str:
+    """On one line, with an ellipsis where it had to be cut."""
+    flat = re.sub(r"\s+", " ", text).strip()
+    return flat if len(flat) <= most else flat[: most - 1] + "…"
+
+
+MEMBER_WORDS = frozenset("public static readonly async get set abstract override declare accessor".split())
+HIDDEN_WORDS = frozenset(("private", "protected"))
+
+
+def members(text: str, line: int, end_line: int) -> list[dict]:
+    """What a class that stands on these lines shows: methods, accessors and properties, without private ones."""
+    ts = [t for t in tokens(text) if line <= t.line <= end_line]
+    at = next((k for k, t in enumerate(ts) if t.text == "class"), None)
+    if at is None:
+        return []
+    body = next((k for k in range(at, len(ts)) if ts[k].text == "{" and ts[k].depth == ts[at].depth), None)
+    if body is None:
+        return []
+    depth, out, k = ts[body].depth + 1, [], body + 1
+    lines = text.split("\n")
+    while k < len(ts) and ts[k].depth >= depth:
+        words: set[str] = set()
+        begin = k
+        while k + 1 < len(ts) and (ts[k].text in MEMBER_WORDS | HIDDEN_WORDS or ts[k].text == "*") and ts[k + 1].text not in ("(", "=", ":", ";", "?", "}"):
+            words.add(ts[k].text)
+            k += 1
+        t = ts[k]
+        after = ts[k + 1].text if k + 1 < len(ts) else "}"
+        if t.depth == depth and t.kind in ("name", "string") and not t.text.startswith("#") and not words & HIDDEN_WORDS:
+            kind = "getter" if "get" in words else "setter" if "set" in words else "constructor" if t.text == "constructor" else "method" if after in ("(", "<") else "property"
+            signature = lines[ts[begin].line - 1].split("{")[0] if kind != "property" else re.split(r"=(?!>)|;", lines[ts[begin].line - 1])[0]
+            out.append({"name": t.value, "kind": kind, "static": "static" in words, "startLine": ts[begin].line, "signature": _cut(signature, 120)})
+        # to the member's end: its semicolon, its body's brace, or a new line after a complete one
+        k += 1
+        while k < len(ts) and ts[k].depth >= depth:
+            end = ts[k].depth == depth and ts[k].text in (";", "}")
+            k += 1
+            if end or k < len(ts) and ts[k].depth == depth and ts[k].line > ts[k - 1].line and ts[k - 1].text not in ("=", ":", "=>", ",", "|", "&", "(", "<") and ts[k].text not in ("{", "}", "=", ":", "|", "&", ".", "?."):
+                break
+    return out
+
+
+def _capped(rows: list, limit: int) -> dict:
+    return {"count": len(rows), "list": rows[:limit], "truncated": len(rows) > limit}
+
+
 def outline(text: str) -> list[dict]:
     """Declarations with their first line as a signature, their range and the first line of the comment above."""
     lines = text.split("\n")
@@ -267,10 +324,90 @@ def outline(text: str) -> list[dict]:
         if note is not None:
             bare = [re.sub(r"^\s*(/\*+|\*/|\*+|//+)?\s*", "", x).replace("*/", "").strip() for x in note.text.split("\n")]
             doc = next((x for x in bare if x), "")
-        out.append({"name": s.name, "kind": s.kind, "exported": s.exported, "signature": re.sub(r"\s+", " ", lines[s.line - 1]).strip()[:200], "line": s.line, "end_line": s.end_line, "doc": doc[:100]})
+        out.append({"name": s.name, "kind": s.kind, "exported": s.exported, "signature": _cut(lines[s.line - 1], 200), "line": s.line, "end_line": s.end_line, "doc": _cut(doc, 100)})
     return out
 
 
+def unbalanced(text: str) -> int:
+    """Brackets that close nothing or stay open, literals that do not end: how far a text is from being read whole."""
+    pairs, held, n = {")": "(", "]": "[", "}": "{"}, [], 0
+    for t in tokens(text):
+        if t.kind == "punct" and t.text in "([{":
+            held.append(t.text)
+        elif t.kind == "punct" and t.text in pairs:
+            if held and held[-1] == pairs[t.text]:
+                held.pop()
+            else:
+                n += 1
+        elif t.kind == "string" and (len(t.text) < 2 or t.text[-1] != t.text[0]) or t.kind == "template" and not t.text.endswith("`"):
+            n += 1
+    return n + len(held)
+
+
+def outline_payload(path: str, text: str | None, limit: int = 100) -> dict:
+    """A file's skeleton: lines, imports, declarations with the members of classes; each list capped with its whole count."""
+    text = text or ""
+    rows = [{**{k: o[k] for k in ("name", "kind", "exported", "signature", "doc")}, "startLine": o["line"], "endLine": o["end_line"]} for o in outline(text)]
+    for r in rows:
+        if r["kind"] == "class":
+            r["members"] = _capped(members(text, r["startLine"], r["endLine"]), limit)
+    taken = {}
+    for x in reexports(text):
+        taken.setdefault(x.specifier, []).append("*" if x.kind == "star" else f"* as {x.exported}" if x.kind == "namespace" else x.exported if x.exported == x.declared else f"{x.declared} as {x.exported}")
+    places = {t.value: t.line for t in tokens(text) if t.kind == "string"}
+    rows += [{"name": s, "kind": "reexport", "exported": True, "signature": _cut(f"{', '.join(names)} from {s}", 200), "doc": "", "startLine": places.get(s, 1), "endLine": places.get(s, 1)} for s, names in taken.items()]
+    rows.sort(key=lambda r: r["startLine"])
+    sources = [s for s in dict.fromkeys(specifiers(text)) if s not in taken]
+    return {"kind": "outline", "path": path, "lines": len(text.split("\n")) if text else 0, "parseErrors": unbalanced(text), "imports": _capped(sources, limit), "declarations": _capped(rows, limit)}
+
+
+#: Lines from which a symbol is long.
+LONG = 200
+NEAR = 8
+
+
+def show_payload(ref: str, files: list[str], read: Callable[[str], str | None], context: int = 0) -> dict:
+    """The source of the one declaration that a reference (name, path#name or a symbol id) means, or the candidates.
+
+    A path may be a suffix. Declarations of a name that follow each other closely
+    in a file, as overloads do, are one.
+    """
+    bare = re.sub(r"^sym:|~\d+$", "", ref or "")
+    path, _, name = bare.rpartition("#")
+    if not name:
+        return {"kind": "not-found", "symbol": ref, "error": "no name", "candidates": []}
+    exact = [f for f in files if f == path]
+    among = files if not path else exact or [f for f in files if f.endswith("/" + path)] or [path]
+    hits, near, low = [], [], name.lower()
+    for f in among:
+        text = read(f)
+        if text is None:
+            continue
+        for s in symbols(text):
+            if s.name == name:
+                last = hits[-1] if hits else None
+                if last and last["path"] == f and s.line - last["end"] <= 2:
+                    last["end"] = max(last["end"], s.end_line)
+                else:
+                    hits.append({"path": f, "kind": s.kind, "line": s.line, "end": s.end_line, "text": text})
+            elif len(near) < NEAR and (low in s.name.lower() or s.name.lower() in low):
+                near.append({"name": s.name, "path": f, "line": s.line, "kind": s.kind})
+    if not hits:
+        return {"kind": "not-found", "symbol": ref, "name": name, "candidates": near}
+    if len(hits) > 1:
+        return {"kind": "ambiguous", "symbol": ref, "name": name, "total": len(hits), "candidates": [{"id": f"sym:{h['path']}#{name}", "path": h["path"], "line": h["line"], "kind": h["kind"]} for h in hits]}
+    h = hits[0]
+    lines = h["text"].split("\n")
+    first = h["line"]
+    while first > 1 and re.match(r"\s*(/\*|\*|//)", lines[first - 2]):  # the comment above belongs to it
+        first -= 1
+    first, last = max(1, first - max(0, context)), min(len(lines), h["end"] + max(0, context))
+    return {
+        "kind": "symbol", "symbol": ref, "id": f"sym:{h['path']}#{name}", "path": h["path"], "name": name, "symbolKind": h["kind"], "startLine": first, "endLine": last, "declarationLine": h["line"], "lines": last - first + 1, "context": max(0, context),
+        "large": last - first + 1 > LONG, "source": "\n".join(lines[first - 1 : last]),
+    }
+
+
 def show(text: str, name: str, context: int = 0) -> list[dict]:
     """Every declaration of a name with its lines."""
     lines = text.split("\n")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 from collections.abc import Callable
 from typing import TextIO
@@ -15,9 +16,13 @@ from typing import TextIO
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import answers
+from .extract import modules
 from .model import Graph
 from .operators import aggregates as ag
-from .operators import answer, cycles, lookup, traverse, windows
+from .operators import cycles, lookup, traverse, windows
+from .operators import rules as rules_
+from .sources import tree
 
 LIMIT = 50
 
@@ -33,14 +38,16 @@ def _capped(df: DataFrame, order: list, limit: int) -> dict:
 
 
 class Tools:
-    def __init__(self, graph: Graph):
+    def __init__(self, graph: Graph, root: str | None = None, descriptions: DataFrame | None = None):
+        """`root` is the folder of the sources, `descriptions` has target_id and text."""
         self.g = graph.cached_edges()
+        self.root, self.descriptions = root, descriptions
         self.by_name: dict[str, tuple[str, Callable[..., dict]]] = {
             n: ((f.__doc__ or "").strip().split("\n")[0], f)
             for n, f in {
                 "find_node": self.find_node, "node_info": self.node_info, "imports_of": self.imports_of, "imported_by": self.imported_by, "impact_of": self.impact_of, "path_between": self.path_between, "list_symbols": self.list_symbols,
                 "who_references": self.who_references, "dead_exports": self.dead_exports, "domain_of": self.domain_of, "domain_dependencies": self.domain_dependencies, "domain_crossings": self.domain_crossings, "cycles": self.cycles,
-                "brief": self.brief, "impact": self.impact, "orphans": self.orphans, "stats": self.stats,
+                "brief": self.brief, "impact": self.impact, "orphans": self.orphans, "stats": self.stats, "outline": self.outline, "show": self.show, "describe": self.describe, "check": self.check,
             }.items()
         }
 
@@ -149,11 +156,62 @@ class Tools:
         """Nodes by label, and edges."""
         return {r["label"]: r["n"] for r in ag.label_counts(self.g).collect()}
 
+    def _read(self, path: str) -> str | None:
+        real = tree.safe_path(self.root, path) if self.root else None
+        if real is None:
+            return None
+        with open(real, encoding="utf-8", errors="replace") as f:
+            return f.read()
+
+    def _sources(self) -> list[str]:
+        return [p for p, folder in tree.walk(self.root) if not folder and re.search(r"\.([mc]?[jt]s|[jt]sx)$", p, re.I)] if self.root else []
+
+    def outline(self, target: str, limit: int = 100) -> dict:
+        """A file's skeleton: imports, declarations, members, without bodies."""
+        files = self._sources()
+        hits = [f for f in files if f == target] or [f for f in files if f.endswith("/" + target)]
+        if len(hits) != 1:
+            near = [f for f in files if target.lower() in f.lower()][:8]
+            return {"kind": "ambiguous", "target": target, "total": len(hits), "candidates": hits[:8]} if hits else {"kind": "not-found", "target": target, "candidates": near}
+        return modules.outline_payload(hits[0], self._read(hits[0]), limit)
+
+    def show(self, symbol: str, context: int = 0) -> dict:
+        """The source of one symbol."""
+        if not symbol or not self.root:
+            return {"kind": "not-found", "symbol": symbol, "error": "no symbol" if self.root else "no root to read sources from", "candidates": [], "lookup": "none"}
+        name = re.sub(r"~\d+$", "", symbol).rpartition("#")[2]
+        spark = self.g.edges.sparkSession
+        known = [r["path"] for r in lookup.paths_declaring(self.g, spark.createDataFrame([(name,)], "name string")).orderBy("path").collect()]
+        if known:
+            found = modules.show_payload(symbol, known, self._read, context)
+            if found["kind"] != "not-found":
+                return found | {"lookup": "graph"}
+        return modules.show_payload(symbol, self._sources(), self._read, context) | {"lookup": "scan"}  # the graph may be old
+
+    def describe(self, target: str) -> dict:
+        """What has been written about a file, domain or symbol."""
+        spark = self.g.edges.sparkSession
+        none = spark.createDataFrame([], "target_id string, text string")
+        return lookup.describe_targets(self.g, spark.createDataFrame([(target,)], "target string"), self.descriptions if self.descriptions is not None else none).first().asDict()
+
+    def check(self, rules: dict | None = None, forbidden: list | None = None) -> dict:
+        """Whether the graph keeps the rules, and what breaks them."""
+        spark = self.g.edges.sparkSession
+        pairs = spark.createDataFrame([tuple(x) for x in forbidden], "from string, to string") if forbidden else None
+        given = dict(rules or {}) | ({"forbidden": True} if forbidden else {})
+        return rules_.check(self.g, given, forbidden=pairs, cycles=cycles.file_cycles(self.g) if "no_cycles" in given else None)
+
+    def text(self, name: str, arguments: dict, max_tokens: int | None = None, compress: bool = False, mode: str = "text") -> dict:
+        """A tool's answer as it is printed, cut and compressed as asked."""
+        payload = self.by_name[name][1](**arguments)
+        return answers.fit_answer(payload, name if name in answers.TEXTS else "list", mode=mode, compress=compress, max_tokens=max_tokens)
+
     def call(self, name: str, arguments: dict, max_tokens: int | None = None) -> dict:
         if name not in self.by_name:
             raise KeyError(name)
-        out = self.by_name[name][1](**arguments)
-        return out if max_tokens is None else answer.fit_payload(out, {k: i for i, (k, v) in enumerate(out.items()) if isinstance(v, list)}, max_tokens)
+        arguments = dict(arguments)
+        max_tokens, compress = arguments.pop("maxTokens", max_tokens), bool(arguments.pop("compressPaths", False))
+        return self.text(name, arguments, max_tokens, compress, "json")["payload"]
 
 
 def handle(message: dict, tools: Tools) -> dict | None:
@@ -209,12 +267,15 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("arguments", nargs="*", help="name=value")
     parser.add_argument("--tables", required=True, help="folder of the catalog's Parquet tables")
     parser.add_argument("--max-tokens", type=int)
+    parser.add_argument("--root", help="folder of the sources, for outline and show")
+    parser.add_argument("--json", action="store_true")
+    parser.add_argument("--compress-paths", action="store_true")
     a = parser.parse_args(argv)
     from pyspark.sql import SparkSession
 
     from .sources.catalog import catalog_graph
 
-    tools = Tools(catalog_graph(SparkSession.builder.getOrCreate(), a.tables))
+    tools = Tools(catalog_graph(SparkSession.builder.getOrCreate(), a.tables), a.root)
     if a.tool == "serve":
         serve(tools)
         return 0
@@ -231,8 +292,9 @@ def main(argv: list[str] | None = None) -> int:
             values[k] = json.loads(v)
         except ValueError:
             values[k] = v
-    print(json.dumps(tools.call(a.tool, values, a.max_tokens), indent=1))
-    return 0
+    done = tools.text(a.tool, values, a.max_tokens, a.compress_paths, "json" if a.json else "text")
+    print(done["text"])
+    return 1 if a.tool == "check" and not done["payload"]["ok"] else 0
 
 
 if __name__ == "__main__":

@@ -48,6 +48,23 @@ def test_layers(spark):
     assert {(r["src"], r["dst"]) for r in layers.usages(refs, symbols).collect()} == {("sym:use.ts#h", "sym:lib.ts#f")}
 
 
+def test_references_through_reexports(spark):
+    """Barrels, renamed and starred names, namespaces, chains and rings of files."""
+    files = [
+        ("lib.ts", "export function f() {}\nexport const g = 1;\nexport default class {}\n"), ("mid.ts", "export { f as ff, default as Base } from './lib';\nexport * from './ring';\n"), ("ring.ts", "export * from './mid';\nexport const own = 2;\n"),
+        ("top.ts", "export * from './mid';\nexport * as box from './lib';\n"), ("a.ts", "import { ff, own, Base } from './top';\nff(own, Base);\n"), ("b.ts", "import * as all from './top';\nall.ff(); all.own; all.missing;\n"), ("c.ts", "import { box } from './top';\nbox.g; box.f();\n"),
+    ]
+    src = spark.createDataFrame(files, "path string, text string")
+    resolved = spark.createDataFrame([(p, f"./{t}", f"{t}.ts") for p, _ in files for t in ("lib", "mid", "ring", "top")], "path string, specifier string, target string")
+    refs = layers.references(src, resolved, layers.symbol_rows(src)).filter("not same_file").select("src", "id").distinct()
+    got = {}
+    for r in refs.collect():
+        got.setdefault(r["src"], set()).add(r["id"])
+    assert got["a.ts"] == {"sym:lib.ts#f", "sym:ring.ts#own", "sym:lib.ts#default"}
+    assert got["b.ts"] == {"sym:lib.ts#f", "sym:ring.ts#own"}
+    assert got["c.ts"] == {"sym:lib.ts#g", "sym:lib.ts#f"}
+
+
 def test_tree(spark, tmp_path):
     for path, text in {"src/a.ts": "x", "src/util/index.ts": "yy", "node_modules/m/i.js": "n", ".env.production": "s", ".env.sample": "e", "id_rsa": "k", "k.log": "l", ".gitignore": "*.log\n", "README.md": "#"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
