@@ -140,8 +140,9 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: i
 
     Returns the manifest: one row per shard with its number, file name, documents
     and tokens. Defined results: a null or empty text is its end id alone; equal
-    doc_ids stay together, ordered by text; null doc_ids come first; an empty
-    table has no shard; further columns are not read.
+    doc_ids stand together, ordered by the hash of the text, and may take several
+    shards; null doc_ids come first; an empty table has no shard; further columns
+    are not read.
     """
     parts = shuffle_partitions(docs.sparkSession)
 
@@ -163,7 +164,8 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: i
                 {"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [writer.name], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_tokens": pa.array([writer.total], pa.int64())}
             )
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(run, MANIFEST), "shards")
 
 
