@@ -26,6 +26,23 @@ RANKS = {
 PATHS = {"impact": {"radius": "node", "tests": "node", "known": "path", "unknown": "path"}, "brief": {"importers": "src"}, "list": {"items": "path"}}
 
 
+def resolve_compress(flags: dict, configured: bool | None) -> bool:
+    """no_compress_paths over compress_paths over the settings over not."""
+    if flags.get("no_compress_paths"):
+        return False
+    return bool(flags.get("compress_paths") or configured)
+
+
+def resolve_max_tokens(flags: dict, configured: int | None = None) -> int | None:
+    """The flag over the settings; it must be a positive whole number."""
+    given = flags.get("max_tokens", configured)
+    if given is None:
+        return None
+    if isinstance(given, bool) or not str(given).isdigit() or int(given) < 1:
+        raise ValueError(f"max_tokens: a positive whole number is needed, not {given!r}")
+    return int(given)
+
+
 def _items(section: object) -> list | None:
     """The rows of a section: a list, or what a capped one holds."""
     if isinstance(section, list):

@@ -441,6 +441,19 @@ def _(g):
     return ag.ranked_targets(g)
 
 
+@graph_query("G23_file_facts", """, i as (select distinct src, dst from internal), x as (select distinct src, dst from external), top as (select dst as id, list(substr(src, 6) order by src)[1:8] as importers, count(*) as rank from i group by dst),
+inn as (select src as id, list(substr(dst, 6) order by dst)[1:8] as internal from i group by src), ext as (select src as id, list(substr(dst, 5) order by dst)[1:8] as external from x group by src),
+ex as (select 'file:' || path as id, list(name || ':' || refs order by refs desc, name)[1:8] as exports from (select path, name, coalesce(n, 0) as refs from symbol left join (select dst as id, count(distinct src) as n from refs where not same_file group by dst) using (id) where exported) group by path)
+select f.id, coalesce(rank, 0) as rank, f.kind as file_kind, d.name as domain, coalesce(array_to_string(importers, ','), '') as importers, coalesce(array_to_string(internal, ','), '') as internal, coalesce(array_to_string(external, ','), '') as external, coalesce(array_to_string(exports, ','), '') as exports
+from file f left join belongs b on b.src = f.id left join domain d on d.id = b.dst left join top on top.id = f.id left join inn on inn.id = f.id left join ext on ext.id = f.id left join ex on ex.id = f.id""")
+def _(g):
+    from . import describe
+
+    f = F.col("facts")
+    exports = F.transform(f["exports"], lambda e: F.concat(e["name"], F.lit(":"), e["refs"].cast("string")))
+    return describe.file_facts(g).select("id", "rank", f["fileKind"].alias("file_kind"), f["domain"].alias("domain"), F.array_join(f["importedBy"]["files"], ",").alias("importers"), F.array_join(f["imports"]["internal"], ",").alias("internal"), F.array_join(f["imports"]["external"], ",").alias("external"), F.array_join(exports, ",").alias("exports"))
+
+
 @graph_query("G24_overlay_diagnostics", "select (select count(*) from file where path like 'lib/%') = 0 as no_root, (select count(*) from internal) > 0 and (select count(*) from depends) = 0 as no_dependency")
 def _(g):
     return ag.overlay_diagnostics(g, ["lib"])

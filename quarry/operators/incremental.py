@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from quarry.functions.paths import revision_of
 
@@ -93,12 +93,18 @@ def merge_layers(layers: list[DataFrame]) -> DataFrame:
 def sorted_struct(value: Column, kind: DataType) -> Column:
     """The same value with the fields of all structs in alphabetical order, at any depth."""
     if isinstance(kind, StructType):
-        return F.struct(*[sorted_struct(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(value.isNull(), F.lit(None)).otherwise(_sorted_fields(value, kind))
     if isinstance(kind, ArrayType):
         return F.transform(value, lambda x: sorted_struct(x, kind.elementType))
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(value, lambda _, v: sorted_struct(v, kind.valueType))), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)))
     return value
 
 
+def _sorted_fields(value: Column, kind: StructType) -> Column:
+    return F.struct(*[sorted_struct(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+
+
 def content_hash(value: Column, kind: DataType) -> Column:
     """SHA-256 of the value as JSON with ordered keys, so that the order of fields says nothing."""
     return F.sha2(F.to_json(sorted_struct(value, kind)), 256)

@@ -53,8 +53,11 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_lines(df: DataFrame, key: str = "id") -> DataFrame:
-    """One JSON text per row, keys in alphabetical order, rows in order of the key."""
-    return df.orderBy(key).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).alias("value"))
+    """One JSON text per row, the keys of all objects in alphabetical order, rows in order of the key."""
+    from quarry.operators.incremental import sorted_struct
+
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return df.orderBy(key).select(F.to_json(F.struct(*[sorted_struct(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields])).alias("value"))
 
 
 def write_jsonl(df: DataFrame, path: str, key: str = "id") -> None:
