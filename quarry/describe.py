@@ -106,8 +106,10 @@ def targets(g: Graph, scope: str = "domains", top: int | None = None) -> DataFra
     out = None
     for kind in SCOPES[scope]:
         rows = makers[kind](g)
-        rows = rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rank"), "id"))) if top else rows.withColumn("position", F.lit(None).cast("int"))
-        rows = rows.orderBy(F.desc("rank"), "id").limit(top) if top else rows
+        if top:  # the limit is taken in every task first, so the window has `top` rows
+            rows = rows.orderBy(F.desc("rank"), "id").limit(top).withColumn("position", F.row_number().over(Window.orderBy(F.desc("rank"), "id")))
+        else:
+            rows = rows.withColumn("position", F.lit(None).cast("int"))
         whole = F.struct(F.lit(kind).alias("kind"), "id", "facts", "sources")
         shape = rows.select(whole.alias("x")).schema["x"].dataType
         rows = rows.select(F.lit(kind).alias("kind"), "id", "name", "rank", "position", F.to_json("facts").alias("facts"), content_hash(whole, shape).alias("content_hash"))
