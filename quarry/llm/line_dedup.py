@@ -51,7 +51,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     gone = repeated(docs).select(F.col("doc_id").alias("doc"), "th", "covered")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("of"), F.col("text").alias("was"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("of"), F.col("text").alias("was"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     joined = rows.join(gone, (F.col("key") == F.col("th")) & F.col("of").eqNullSafe(F.col("doc")), "left").withColumn("lines", F.split("was", "\n", -1))
     keep = "array_join(transform(array_except(sequence(0, size(lines) - 1), covered), i -> get(lines, i)), '\\n')"
     left = F.when(F.col("covered").isNull(), F.col("was")).otherwise(F.expr(keep))

@@ -448,7 +448,7 @@ def dedup_text(docs: DataFrame, **options) -> DataFrame:
 
     changed = _with_intervals(docs, **options).filter("w is not null").mapInArrow(run, "doc long, k long, new string").distinct()
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("of"), F.col("text").alias("was"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("of"), F.col("text").alias("was"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
     )
     same = (F.col("of") == F.col("doc")) & ((F.col("k") == 0) | (F.col("k") == F.col("key")))
     text = F.coalesce("new", "was")
