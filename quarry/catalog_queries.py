@@ -647,7 +647,7 @@ def _(g):
 start as (select id, d from dist order by d desc, id limit 1), walk(id, hop) as (select id, 0 from start union all select (select min(i.dst) from internal i join dist t on t.id = i.dst where i.src = w.id and t.d = (select d from start) - w.hop - 1), hop + 1 from walk w where hop < (select d from start))
 select cast(hop as int) as hop, id as node from walk""", True)
 def _(g):
-    inner = g.of("IMPORTS").filter("kind = 'internal'").select("src", "dst").persist()
+    inner = g.of("IMPORTS").filter("kind = 'internal'").select("src", "dst")
     goal = hub(g)
     far = tr.transitive_importers(g, g.edges.sparkSession.createDataFrame([(goal,)], "node string")).orderBy(F.desc("depth"), "node").first()
     return tr.shortest_path(inner, far["node"], goal)

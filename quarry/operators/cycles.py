@@ -6,42 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.model import Graph
-from quarry.plans.frontier import checkpointed
+from quarry.plans.frontier import checkpointed, counted
+from quarry.plans.shared import dropped
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose ends both have an edge in and an edge out, again and again: the rest is in no ring."""
-    now, n = edges, edges.count()
+    now, n = counted(edges)
     while n:
         both = now.select(F.col("src").alias("v")).distinct().join(now.select(F.col("dst").alias("v")).distinct(), "v", "left_semi")
         nxt = now.join(both.withColumnRenamed("v", "src"), "src", "left_semi").join(both.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
-        nxt = checkpointed(nxt)
-        m = nxt.count()
+        before = now
+        now, m = counted(nxt)
+        dropped(before)
         if m == n:
             break
-        now, n = nxt, m
+        n = m
     return now
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of a component of two or more.
 
-    Colouring: after trimming, the largest reachable-from label spreads forward
-    until it settles; whoever reaches its colour's root within the colour is in
-    the root's component, and leaves. Each round takes a component per colour, so
-    rounds are few where components are.
+    Colouring: after trimming, the smallest label spreads forward until it settles;
+    whoever reaches its colour's root within the colour is in the root's component,
+    and leaves. What reaches a node's colour reaches the node, so each round also
+    takes the colour of the colour, and a chain of n nodes settles in some log n
+    rounds. Each round takes a component per colour, so rounds are few where
+    components are.
     """
     work = checkpointed(edges.filter("src <> dst").select("src", "dst").distinct())
     out = None
     while True:
         work = _trimmed(work)
-        if not work.limit(1).count():
+        if work.isEmpty():
             break
         colour = checkpointed(work.select(F.col("src").alias("v")).unionByName(work.select(F.col("dst").alias("v"))).distinct().withColumn("c", F.col("v")))
         while True:  # the smallest node that reaches v
             step = work.join(colour.withColumnsRenamed({"v": "src", "c": "cc"}), "src").groupBy(F.col("dst").alias("v")).agg(F.min("cc").alias("m"))
-            nxt = checkpointed(colour.join(step, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
-            moved = nxt.filter("moved").limit(1).count()
+            further = colour.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+            joined = colour.join(step, "v", "left").join(further, "c", "left").select("v", F.col("c").alias("was"), F.least("c", "m", "cc").alias("c"))
+            nxt, moved = counted(joined, F.col("c") < F.col("was"))
             colour = nxt.select("v", "c")
             if not moved:
                 break
@@ -51,8 +56,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         front = got
         while True:  # backwards from each root within its colour
             new = front.withColumnRenamed("v", "from").join(inner, ["from", "c"]).select(F.col("to").alias("v"), "c").distinct().join(got, ["v", "c"], "left_anti")
-            front = checkpointed(new)
-            if not front.limit(1).count():
+            front, n = counted(new)
+            if not n:
                 break
             got = checkpointed(got.unionByName(front))
         out = got if out is None else out.unionByName(got)
@@ -81,8 +86,8 @@ def shortest_rings(edges: DataFrame, components: DataFrame) -> DataFrame:
         closing = checkpointed(closing)
         done = closing if done is None else done.unionByName(closing)
         new = step.join(done.select("component"), "component", "left_anti").join(seen, ["component", "node"], "left_anti").groupBy("component", "node").agg(F.min("path").alias("p"))
-        front = checkpointed(new.select("component", "node", F.concat("p", F.array("node")).alias("path")))
-        if not front.limit(1).count():
+        front, n = counted(new.select("component", "node", F.concat("p", F.array("node")).alias("path")))
+        if not n:
             break
         seen = checkpointed(seen.unionByName(front.select("component", "node")))
     return done.select("component", F.size("ring").alias("length"), F.array_join("ring", ",").alias("ring"))

@@ -8,7 +8,7 @@ comes to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
@@ -21,10 +21,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return written(df, "level")
 
 
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """The same, with its number of rows, by one job."""
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """The same, with its number of rows (of those for which `what` holds), by one job."""
     seen = Observation()
-    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    out = checkpointed(df.observe(seen, (F.count(F.lit(1)) if what is None else F.count_if(what)).alias("n")))
     return out, seen.get["n"]
 
 

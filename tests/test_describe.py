@@ -8,6 +8,7 @@ from threading import Thread
 import pytest
 
 from quarry import answers, describe, render, stamps
+from quarry.operators.windows import unique_slugs
 from quarry.sources import jsonl
 
 from .test_tools import small  # noqa: F401
@@ -106,6 +107,19 @@ def test_flags_and_languages(small):  # noqa: F811
     assert "[sky](domains/sky.md): Looks up." in render.described(spark.createDataFrame([("domain:sky", "Looks up.")], "targetId string, text string"), small)
 
 
+def test_page_names_are_free(spark):
+    """A number that a name has by itself is not given out again."""
+    names = ["a b", "a-b", "a-b-2", "a!b", "z", "***", "domain"]
+    got = {r["name"]: r["slug"] for r in unique_slugs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    used, want = set(), {}
+    for n in sorted(names):
+        slug = {"***": "domain"}.get(n, n.replace(" ", "-").replace("!", "-"))
+        free = next(x for x in [slug, *(f"{slug}-{k}" for k in range(2, 9))] if x not in used)
+        used.add(free)
+        want[n] = free
+    assert got == want and len(set(got.values())) == len(names)
+
+
 def test_json_keys_are_ordered_at_any_depth(spark):
     df = spark.sql("select 'x' as id, named_struct('b', 1, 'a', array(named_struct('d', 2, 'c', 3))) as value, map('z', '1', 'y', '2') as m, cast(null as struct<q:int>) as none")
     assert [r["value"] for r in jsonl.to_lines(df).collect()] == ['{"id":"x","m":{"y":"2","z":"1"},"value":{"a":[{"c":3,"d":2}],"b":1}}']
