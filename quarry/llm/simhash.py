@@ -19,16 +19,19 @@ five-word shingles mostly differ in more than three. For a similarity of sets
 (`similar_groups`) the shingles are dealt into blocks by their hashes, and each
 block has a fingerprint of its own. Two sets that are similar enough differ in
 fewer shingles than there are blocks, so by the same pigeonhole they share a
-block; pairs that do are verified by the similarity of their whole texts.
+block; of texts that do, a pair each is verified by the similarity of their whole
+texts. Texts that then share a block with one of another group are compared by
+their rarest shingles, of which similar sets have one in common without fail.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -241,10 +244,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-#: Rows of one key up to which all pairs are looked at; in larger ones each row meets LEADERS others at most.
-CROWD_OF_TEXTS = 64
-LEADERS = 8
-#: Bits in which fingerprints of similar sets differ at most: a similarity of 0.8 gives 9.7 on average, with a deviation of 2.9.
+#: Texts of one rare element up to which their pairs are rows; more are compared in place.
+CROWD_OF_TEXTS = 32
+#: Places that a crowd is dealt to, with this many of its texts in each while there are fewer.
+PLACES, TEXTS_IN_PLACE = 64, 32
+#: Bits in which fingerprints of first pairs differ at most; no bound for the rest. A similarity of 0.8 gives 9.7 on average, with a deviation of 2.9.
 SET_DISTANCE = 22
 #: Pairs of one text that are verified in one place; a text in more pairs is sent out that much more often.
 FANOUT = 256
@@ -274,28 +278,162 @@ def _made(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def _first_pairs(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of each row with the first of its key, in an order by hash; and the keys of more than one row, with their numbers of rows n."""
+    """One pair (a, b) of each row, with that first row of its keys, in an order by hash, that it shares most of them with; and the keys of more than one row, with their numbers of rows n."""
     first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc").alias("o"), "doc")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     first = written(first.select("key", F.col("f.doc").alias("b"), "n"), "block-firsts")
-    pairs = join_heavy(rows, first, ["key"], "n", total).filter("doc <> b").select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"))
-    return written(pairs.distinct(), "near-pairs"), first
+    met = join_heavy(rows, first, ["key"], "n", total).filter("doc <> b")
+    return written(_nearest(met), "near-pairs"), first
 
 
-def _further_pairs(rows: DataFrame, total: int, shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts that share a key but are not in one group yet: all of a key with few rows, LEADERS of each row in a crowd."""
+def _nearest(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), one of each doc: with the b that it met most often."""
+    best = met.groupBy("doc", "b").agg(F.count("*").alias("s")).groupBy("doc").agg(F.max(F.struct("s", F.xxhash64("doc", "b").alias("o"), "b")).alias("f"))
+    return best.select(F.greatest("doc", "f.b").alias("a"), F.least("doc", "f.b").alias("b")).distinct()
+
+
+def _equal(marks: DataFrame, copied: DataFrame) -> DataFrame:
+    """Links (a, b) of equal texts to the smallest doc of theirs; `copied` has it, as least, and the number of rows w of each th."""
+    return join_heavy(marks.select("doc", "th"), copied, ["th"], "w", marks.count()).filter("doc > least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+
+
+def _open(rows: DataFrame, total: int, shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc and root of the texts with a key that texts of another group have too."""
     held = join_heavy(rows, shared.withColumn("weight", F.col("n")), ["key"], "weight", total)
     held = held.join(sized(reps, reps.count()), "doc").join(sized(roots.withColumnRenamed("node", "doc"), roots.count()), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
     held = written(held, "block-rows")
-    mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n").withColumn("weight", F.col("n"))
-    held = written(join_heavy(held, mixed, ["key"], "weight", held.count()), "block-rows")
-    few = held.filter(F.col("n") <= CROWD_OF_TEXTS)
-    other = few.select("key", F.col("doc").alias("b"), F.col("root").alias("other"))
-    pairs = few.join(other.hint("merge"), "key").filter("doc > b and root <> other").select(F.col("doc").alias("a"), "b")
-    crowd = held.filter(F.col("n") > CROWD_OF_TEXTS)
-    leaders = crowd.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)).alias("part"), "n").agg(F.min(F.struct(F.xxhash64("doc", "key").alias("o"), "doc", "root")).alias("f"))
-    leaders = written(leaders.select("key", F.col("f.doc").alias("b"), F.col("f.root").alias("other"), F.col("n").alias("weight")), "block-leaders")
-    met = join_heavy(crowd, leaders, ["key"], "weight", crowd.count()).filter("doc <> b and root <> other")
-    return pairs.unionByName(met.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b"))).distinct()
+    mixed = held.groupBy("key").agg(F.count("*").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "weight")
+    found = written(join_heavy(held, mixed, ["key"], "weight", held.count()).select("doc", "root").distinct(), "near-open")
+    dropped(held)
+    return found
+
+
+def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """key, doc, n, pos: the first elements of each text's set, of n, by how many texts have them, then by value; only elements that several texts have.
+
+    Any two sets that are similar enough have an element in common among their
+    first n - ceil(n s) + 1. The rare come first, so few texts share one of these
+    unless they are much alike.
+    """
+    schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
+
+    def run(batches):
+        release()
+        for batch in batches:
+            for begin, end in groups(batch.column(2), 2 << 20):
+                part = batch.slice(begin, end - begin)
+                sets = [shingle_set(t, words).view(np.int64) for t in part.column(2).to_pylist()]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                columns = [np.repeat(part.column(k).to_numpy(), sizes) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.repeat(sizes, sizes), np.concatenate(sets))], schema=schema)
+
+    rows = written(texts.mapInArrow(run, "doc long, th long, n long, key long"), "near-elements")
+    often = rows.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1").withColumn("weight", F.col("often"))
+    often = written(often, "near-often")
+    common = join_heavy(rows, often, ["key"], "weight", rows.count())
+    text = Window.partitionBy("doc", "th")
+    pos = F.col("n") - F.count("*").over(text) + F.row_number().over(text.orderBy("often", "key")) - 1
+    found = written(common.withColumn("pos", pos).filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9)).select("key", "doc", "n", "pos"), "near-prefixes")
+    dropped(rows, often)
+    return found
+
+
+def _fits(similarity: float):
+    """Whether two rows of one key, of different groups, can be similar if the key is the first element that they share."""
+    size = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9
+    return size & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9) & (F.col("root") != F.col("other"))
+
+
+def _all_pairs(held: DataFrame, total: int, similarity: float) -> DataFrame:
+    """Every pair (a, b) that fits and is not of one crowd, of keys of few rows."""
+    other = held.select("key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other"), F.col("crowd").alias("others"))
+    apart = (F.col("doc") > F.col("b")) & ~F.coalesce(F.col("crowd") == F.col("others"), F.lit(False))
+    return held.join(sized(other, total), "key").filter(_fits(similarity) & apart).select(F.col("doc").alias("a"), "b").distinct()
+
+
+def _compared(texts: DataFrame, crowds: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar texts of a crowd; `crowds` has doc, root, crowd.
+
+    A crowd's texts are dealt to places, and all of the crowd pass by each, as
+    sets. Pairs are compared there and are never rows: numbers of common elements
+    come from the elements' lists of texts, and a link leaves a place only if it
+    connects two groups that the place has not seen connected yet.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def sets(batches):
+        release()
+        for batch in batches:
+            for begin, end in groups(batch.column(1), 2 << 20):
+                part = batch.slice(begin, end - begin)
+                made = pa.array([shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), made], names=["doc", "elements"])
+
+    def compare(batches):
+        release()
+        at, mine, index, over = None, [], None, {}
+
+        def find(x):
+            while over.get(x, x) != x:
+                over[x] = x = over.get(over[x], over[x])
+            return x
+
+        for batch in batches:
+            out = []
+            for row, (crowd, place, passes, doc, root) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
+                if at != (crowd, place):
+                    at, mine, index, over = (crowd, place), [], None, {}
+                elements = np.frombuffer(batch.column(5)[row].as_buffer(), np.uint64)
+                if not passes:
+                    mine.append((doc, root, elements.copy()))
+                    continue
+                if not mine:
+                    continue
+                if index is None:  # the place's own texts come first
+                    sizes = np.array([len(x) for *_, x in mine])
+                    held = np.concatenate([x for *_, x in mine])
+                    order = np.argsort(held, kind="stable")
+                    index = held[order], np.repeat(np.arange(len(mine)), sizes)[order], sizes
+                held, who, sizes = index
+                low, many = np.searchsorted(held, elements), np.searchsorted(held, elements, "right")
+                many = many - low
+                spots = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+                both = np.bincount(who[spots], minlength=len(mine))
+                for k in np.flatnonzero(both >= (similarity - 1e-12) * (sizes + len(elements) - both)):
+                    u, v = find(root), find(mine[k][1])
+                    if u != v:
+                        over[max(u, v)] = min(u, v)
+                        out.append((doc, mine[k][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+
+    size = crowds.groupBy("crowd").agg(F.least(F.ceil(F.count("*") / TEXTS_IN_PLACE), F.lit(PLACES)).cast("int").alias("places"), F.count("*").alias("w"))
+    count = crowds.count()
+    dealt = join_heavy(crowds, written(size, "near-crowds"), ["crowd"], "w", count)
+    held = written(texts.select("doc", "text").mapInArrow(sets, "doc long, elements binary").join(sized(dealt, count), "doc"), "near-sets")
+    own = held.withColumn("place", F.pmod(F.xxhash64("doc"), "places").cast("int")).withColumn("passes", F.lit(False))
+    by = held.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).withColumn("passes", F.lit(True))
+    met = own.unionByName(by).select("crowd", "place", "passes", "doc", "root", "elements").repartition("crowd", "place").sortWithinPartitions("crowd", "place", "passes")
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def _further_links(texts: DataFrame, marks: DataFrame, open_: DataFrame, words: int, similarity: float) -> list[DataFrame]:
+    """Verified links (a, b), enough to connect all similar texts of `open_` (doc, root) that its roots do not connect yet."""
+    count = open_.count()
+    if not count:
+        return []
+    texts = texts.join(sized(open_.select("doc"), count), "doc", "left_semi").select("doc", "th", "text")
+    prefixes = _prefixes(texts, words, similarity)
+    held = written(prefixes.join(sized(open_, count), "doc"), "near-held")
+    mixed = held.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    mixed = written(mixed.select("key", "c", "least", F.col("c").alias("weight")), "near-mixed")
+    every, held = held, written(join_heavy(held, mixed, ["key"], "weight", held.count()), "near-held")
+    crowds = components(held.filter(F.col("c") > CROWD_OF_TEXTS).select(F.col("doc").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("doc"), F.col("root").alias("crowd"))
+    crowds = written(open_.join(sized(crowds, crowds.count()), "doc"), "near-crowds")
+    few = held.filter(F.col("c") <= CROWD_OF_TEXTS).select("key", "doc", "n", "pos", "root").join(sized(crowds.select("doc", "crowd"), crowds.count()), "doc", "left")
+    few = written(few, "near-few")
+    pairs = written(_all_pairs(few, few.count(), similarity), "near-pairs")
+    out = [written(_verified(texts, marks, pairs, words, similarity, 64), "near-links"), written(_compared(texts, crowds, words, similarity), "near-links")]
+    dropped(prefixes, every, held, mixed, crowds, few, pairs)
+    return out
 
 
 def similar_groups(docs: DataFrame, *, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -308,9 +446,11 @@ def similar_groups(docs: DataFrame, *, words: int = STAGE_WORDS, similarity: flo
     doc_id take no part; rows that share a doc_id are one node. No links, or an
     empty table, give no rows; further columns are not read.
 
-    Each link is verified on whole texts. Texts meet through shared keys: first
-    each meets one other per key, then those that are in different groups still
-    meet all others of the key, or LEADERS of them in a key of a crowd.
+    Each link is verified on whole texts. Equal texts are linked as such. Others
+    meet through shared block keys: first each meets one other. Those that still
+    share a key with a text of another group meet through the rare elements of
+    their sets, which every two similar sets share: in pairs where few have an
+    element, else each crowd is compared in place.
     """
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc", F.xxhash64("text").alias("th"), "text")
@@ -320,19 +460,21 @@ def similar_groups(docs: DataFrame, *, words: int = STAGE_WORDS, similarity: flo
     total = made.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     if not total:
         return marks.select(F.col("doc").alias("node"), F.col("doc").alias("root")).limit(0)
+    copied = written(marks.groupBy("th").agg(F.min("doc").alias("least"), F.count("*").alias("w")), "near-texts")
     pairs, first = _first_pairs(rows, total)
-    links = written(_verified(texts, marks, pairs, words, similarity), "near-links")
-    reps = written(marks.groupBy("th").agg(F.min("doc").alias("doc")).select("doc").distinct(), "near-texts")
+    links = written(_equal(marks, copied).unionByName(_verified(texts, marks, pairs, words, similarity)), "near-links")
+    reps = written(copied.select(F.col("least").alias("doc")).distinct(), "near-texts")
     roots = components(links)
-    further = written(_further_pairs(rows, total, first.select("key", "n"), roots, reps).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
-    dropped(made, first, pairs, reps, roots)
-    found = components(links.unionByName(_verified(texts, marks, further, words, similarity)))
-    dropped(marks, links, further)
+    open_ = _open(rows, total, first.select("key", "n"), roots, reps)
+    dropped(made, first, pairs, copied, reps, roots)
+    further = _further_links(texts, marks, open_, words, similarity)
+    found = components(reduce(DataFrame.unionByName, further, links))
+    dropped(marks, links, open_, *further)
     return found
 
 
-def _verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough: equal, or of like size and near in Hamming distance and then similar as whole texts.
+def _verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, words: int, similarity: float, bits: int = SET_DISTANCE) -> DataFrame:
+    """The pairs (a, b) that are similar enough: equal, or of like size, with fingerprints that differ in `bits` bits at most, and then similar as whole texts.
 
     A text in many pairs goes to several tasks, each with FANOUT pairs about.
     """
@@ -342,7 +484,7 @@ def _verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, words: int,
     weight = pairs.groupBy("b").agg(F.count("*").alias("w"))
     marked = pairs.join(sized(a, m), "a")
     marked = marked.join(sized(b, m), "b") if m <= BROADCAST_ROWS else join_heavy(marked, b.join(weight.hint("merge"), "b"), ["b"], "w", n)
-    near = (F.col("ta") == F.col("tb")) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= SET_DISTANCE) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
+    near = (F.col("ta") == F.col("tb")) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
     marked = written(marked.filter(near).select("a", "ta", "b", "tb"), "near-marked")
     equal, open_ = marked.filter("ta = tb").select("a", "b"), marked.filter("ta <> tb")
     texts = texts.dropDuplicates(["doc", "th"]) if texts.groupBy("doc", "th").count().filter("count > 1").limit(1).count() else texts
